@@ -4,7 +4,8 @@ A block is one row (bucket, hs, docs): fingerprints whose bucket is `h % buckets
 documents. Before anything is shuffled, `Packer` combines what one task has seen: of equal
 fingerprints only one entry, that of the smallest document, leaves the task. So a fingerprint that
 a third of all documents hold costs one entry a flush, not one a document, and no bucket grows with it.
-What a task can already answer for the others it answers itself (rows with a doc_id and its hs).
+What a task can already answer for the others it answers itself. Answers are blocks too, their
+bucket is `doc_id % buckets`, so that a document's answers come together in one row.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ._words import mix
 
-BLOCK_DDL = "bucket int, doc_id long, hs binary, docs binary"
-BLOCK = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hs", pa.binary()), ("docs", pa.binary())])
-REPLY_DDL = "doc_id long, hs binary"
-REPLY = pa.schema([("doc_id", pa.int64()), ("hs", pa.binary())])
+BLOCK_DDL = "bucket int, answer boolean, hs binary, docs binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("answer", pa.bool_()), ("hs", pa.binary()), ("docs", pa.binary())])
+TOLD_DDL = "doc_id long, told binary"
+TOLD = pa.schema([("doc_id", pa.int64()), ("told", pa.binary())])
 FLUSH = 1 << 20
 
 
@@ -49,11 +50,21 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(x)])
 
 
-def rows_by_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    start, size = runs(doc)
-    return doc[start], [h[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+def blocks_of(h: np.ndarray, doc: np.ndarray, buckets: int, answer: bool) -> pa.RecordBatch:
+    """Pairs as one row a bucket, in order of the document."""
+    bucket = (doc % buckets if answer else h % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((doc, bucket))
+    h, doc, bucket = h[order], doc[order], bucket[order]
+    start, size = runs(bucket)
+    cut = [slice(a, a + n) for a, n in zip(start, size, strict=True)]
+    cols = [pa.array(bucket[start]), pa.array([answer] * len(cut), pa.bool_()), pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([pack_docs(doc[x]) for x in cut], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, schema=BLOCK)
+
+
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    hs = [np.frombuffer(b, np.uint64) for b in table["hs"].to_pylist()]
+    docs = [unpack_docs(b, len(x)) for b, x in zip(table["docs"].to_pylist(), hs, strict=True)]
+    return np.concatenate(hs), np.concatenate(docs)
 
 
 class Packer:
@@ -85,51 +96,46 @@ class Packer:
         told = np.repeat(size > 1, size)
         if self.later_only:
             told[start] = False
-        ids, blobs = rows_by_doc(doc[told], h[told])
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array((ids % self.buckets).astype(np.int32)), pa.array(ids), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=BLOCK)
-        h, doc = h[start], doc[start]
-        bucket = (h % np.uint64(self.buckets)).astype(np.int32)
-        order = np.lexsort((doc, bucket))
-        h, doc, bucket = h[order], doc[order], bucket[order]
-        start, size = runs(bucket)
-        ends = start + size
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[start]), pa.nulls(len(start), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary()), pa.array([pack_docs(doc[a:b]) for a, b in zip(start, ends, strict=True)], pa.binary())],
-            schema=BLOCK,
-        )
-
-
-def meet(later_only: bool):
-    """For applyInArrow over one bucket: replies to the documents whose entries met others; earlier replies pass through."""
+        if told.any():
+            yield blocks_of(h[told], doc[told], self.buckets, answer=True)
+        yield blocks_of(h[start], doc[start], self.buckets, answer=False)
+
+
+def meet(buckets: int, later_only: bool):
+    """For applyInArrow over one bucket: answers to the documents whose entries met others; earlier answers pass through."""
 
     def f(table: pa.Table) -> pa.Table:
-        done = table.filter(pc.is_valid(table["doc_id"])).select(["doc_id", "hs"])
-        table = table.filter(pc.is_null(table["doc_id"]))
+        done = table.filter(table["answer"])
+        table = table.filter(pc.invert(table["answer"]))
         if not len(table):
             return done
-        hs = [np.frombuffer(b, np.uint64) for b in table["hs"].to_pylist()]
-        docs = [unpack_docs(b, len(x)) for b, x in zip(table["docs"].to_pylist(), hs, strict=True)]
-        h, doc = distinct_pairs(np.concatenate(hs), np.concatenate(docs))
+        h, doc = distinct_pairs(*unpack(table))
         start, size = runs(h)
         told = np.repeat(size > 1, size)
         if later_only:
             told[start] = False
-        ids, blobs = rows_by_doc(doc[told], h[told])
-        return pa.concat_tables([done, pa.Table.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], schema=REPLY)])
+        return pa.concat_tables([done, pa.Table.from_batches([blocks_of(h[told], doc[told], buckets, answer=True)], BLOCK)])
 
     return f
 
 
-def replies(blocks: DataFrame, later_only: bool) -> DataFrame:
-    """One row per document that has any: doc_id and told, the list of its fingerprint blobs."""
-    met = blocks.groupBy("bucket").applyInArrow(meet(later_only), REPLY_DDL)
-    return met.groupBy("doc_id").agg(F.collect_list("hs").alias("told"))
+def gather(table: pa.Table) -> pa.Table:
+    """For applyInArrow over one bucket of answers: one row per document."""
+    doc, h = distinct_pairs(*reversed(unpack(table)))
+    start, size = runs(doc)
+    blobs = [h[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+    return pa.Table.from_arrays([pa.array(doc[start]), pa.array(blobs, pa.binary())], schema=TOLD)
+
+
+def replies(blocks: DataFrame, buckets: int, later_only: bool) -> DataFrame:
+    """One row per document that has any: doc_id and told, its distinct fingerprints."""
+    met = blocks.groupBy("bucket").applyInArrow(meet(buckets, later_only), BLOCK_DDL)
+    return met.groupBy("bucket").applyInArrow(gather, TOLD_DDL)
 
 
-def member(text: np.ndarray, h: np.ndarray, told: list[list[bytes] | None]) -> np.ndarray:
+def member(text: np.ndarray, h: np.ndarray, told: list[bytes | None]) -> np.ndarray:
     """Which (text, h) the blobs in told[text] hold."""
-    key = [(i, np.frombuffer(b"".join(x), np.uint64)) for i, x in enumerate(told) if x]
+    key = [(i, np.frombuffer(x, np.uint64)) for i, x in enumerate(told) if x]
     if not key or not len(h):
         return np.zeros(len(h), bool)
     salt = mix(np.arange(1, len(told) + 1, dtype=np.uint64))

@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """doc_id long and text. No alias where none is needed, so that equal exchanges of it are reused."""
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc_id, "text")
+
+
 def global_rank(df: DataFrame, order: list, name: str, tag: str) -> DataFrame:
     """Add the dense 0-based rank of every row under `order`, without a single-partition window.
 

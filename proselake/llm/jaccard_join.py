@@ -27,13 +27,12 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._exchange import BLOCK, BLOCK_DDL, Packer, replies
-from ._store import materialise, partitions, table
+from ._store import keyed_text, materialise, partitions, table
 from ._words import _COEF, mix, slices
 
 SAMPLE_SHARE = 0.35
-FACT_DDL = "doc_id long, n long, sampled long, key binary"
-SCAN_DDL = f"{BLOCK_DDL}, n long, sampled long, key binary"
-SCAN = pa.schema([*BLOCK, ("n", pa.int64()), ("sampled", pa.int64()), ("key", pa.binary())])
+SCAN_DDL = f"{BLOCK_DDL}, doc_id long, n long, sampled long, key binary"
+SCAN = pa.schema([*BLOCK, ("doc_id", pa.int64()), ("n", pa.int64()), ("sampled", pa.int64()), ("key", pa.binary())])
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +42,7 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _wide(b: pa.RecordBatch) -> pa.RecordBatch:
     n = b.num_rows
-    return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SCAN)
+    return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SCAN)
 
 
 def _scan(k: int, buckets: int):
@@ -64,7 +63,7 @@ def _scan(k: int, buckets: int):
                 pick = (h >> np.uint64(40)) & np.uint64(0xFFFF) < np.uint64(int(SAMPLE_SHARE * 65536))
                 sampled = np.bincount(text[pick], minlength=m)
                 key = [a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), batch["doc_id"].slice(s.lo, m), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(n), pa.array(sampled), pa.array(key, pa.binary())], schema=SCAN)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), batch["doc_id"].slice(s.lo, m), pa.array(n), pa.array(sampled), pa.array(key, pa.binary())], schema=SCAN)
                 pick &= valid[s.lo + text]
                 for b in packer.add(h[pick], ids[s.lo + text[pick]]):
                     yield _wide(b)
@@ -86,11 +85,6 @@ def _sets(k: int):
     return f
 
 
-def _distinct_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(np.unique(np.frombuffer(b"".join(x), np.uint64))) for x in b["told"].to_pylist()], pa.int64())], names=["doc_id", "shared"])
-
-
 def _verify(percent: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,11 +119,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = keyed_text(docs)
     least = lambda n: F.floor((n * percent + 99) / 100).cast("long")  # noqa: E731  ceil(percent * n / 100)
 
     scan = materialise(docs.mapInArrow(_scan(k, partitions(spark)), SCAN_DDL), "shingle-scan")
-    shared = replies(scan.filter("bucket is not null").select("bucket", "doc_id", "hs", "docs"), later_only=False).mapInArrow(_distinct_told, "doc_id long, shared long")
+    shared = replies(scan.filter("bucket is not null").select("bucket", "answer", "hs", "docs"), partitions(spark), later_only=False).select("doc_id", (F.length("told") / 8).cast("long").alias("shared"))
     facts = scan.filter("bucket is null").select("doc_id", "n", "sampled", "key")
     classes = facts.filter("n > 0 and doc_id is not null").groupBy("n", "key").agg(F.min("doc_id").alias("rep"))
     facts = facts.join(shared, "doc_id", "left").join(classes, ["n", "key"], "left")

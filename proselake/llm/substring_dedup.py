@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import BLOCK_DDL, Packer, member, replies
-from ._store import partitions
+from ._store import keyed_text, partitions, table
 from ._words import _COEF, Slice, mix, slices
 
 OUT_DDL = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,count:long>>"
@@ -80,7 +80,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, buckets: int | None = No
     document when windows are compared; a row with a null doc_id loses nothing and makes no other
     row lose anything. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = keyed_text(docs)
     named = docs.filter("doc_id is not null")
     buckets = buckets or partitions(docs.sparkSession)
 
@@ -141,10 +141,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, buckets: int | None = No
                     removed.append(int(g.sum()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(s.lo, s.hi - s.lo), pa.array(s.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, SPANS)], schema=OUT)
 
-    shared = replies(named.mapInArrow(reveal, BLOCK_DDL), later_only=False)
+    shared = replies(named.mapInArrow(reveal, BLOCK_DDL), buckets, later_only=False)
     windows = named.join(shared, "doc_id", "left").select("doc_id", "text", "told").mapInArrow(verify, BLOCK_DDL)
-    repeats = replies(windows, later_only=True)
-    return named.join(repeats, "doc_id", "left").select("doc_id", "text", "told").unionByName(docs.filter("doc_id is null").withColumn("told", F.lit(None).cast("array<binary>"))).mapInArrow(cut, OUT_DDL)
+    repeats = replies(windows, buckets, later_only=True)
+    return named.join(repeats, "doc_id", "left").select("doc_id", "text", "told").unionByName(docs.filter("doc_id is null").withColumn("told", F.lit(None).cast("binary"))).mapInArrow(cut, OUT_DDL)
 
 
 _BLANKS = {c: " " for c in range(9, 14)}
@@ -152,8 +152,6 @@ _BLANKS = {c: " " for c in range(9, 14)}
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words kept of every document; a digest stands for the text."""
-    from ._store import table
-
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

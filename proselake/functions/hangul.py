@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIRST, LAST, VOWELS, FINALS = 0xAC00, 0xD7A3, 21, 28
 RIEUL = 8
@@ -47,7 +48,7 @@ def fit_particle(word: str, particle: str) -> str:
     return particle
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fit_particle_udf(word: pd.Series, particle: pd.Series) -> pd.Series:
     return pd.Series([None if w is None or p is None else fit_particle(w, p) for w, p in zip(word, particle, strict=True)])
 

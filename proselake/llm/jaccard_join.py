@@ -10,8 +10,8 @@ may be missing in its partner.
    first x - ceil(t*x) + 1 shingles; two linked documents share one. Documents with identical prefix
    and size form a group.
 3. Groups that share a prefix shingle meet. First every member is verified against its group's first
-   member, and every group against its neighbour in the list of the shingle: a number of pairs in
-   proportion to the lists. What that links is contracted to components. Then group pairs that still
+   member, and every group against the first group of about its size in the list of the shingle: a
+   number of pairs in proportion to the lists. What that links is contracted to components. Then group pairs that still
    lie in different components pass the size and position filters and are expanded and verified, so a
    hot list of near copies costs no quadratic work, and no link between components is lost.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -147,8 +147,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     need = lambda x, y: F.floor(((x + y) * percent + 99 + percent) / (100 + percent))  # noqa: E731  least overlap
     fits = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (1 + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1) >= need(F.col("nx"), F.col("ny")))
-    beside = Window.partitionBy("h").orderBy("n", "gid")
-    near = lists.select("gid", F.lag("gid").over(beside).alias("other"), F.col("n").alias("ny"), F.lag("n").over(beside).alias("nx"), F.col("pos").alias("py"), F.lag("pos").over(beside).alias("px")).filter("other is not null").filter(fits)
+    band = F.floor(F.log("n") / float(np.log(100 / percent)))  # sizes that may link are in the same band or the next
+    heads_of = lists.groupBy("h", band.alias("band")).agg(F.min(F.struct("gid", "n", "pos")).alias("head"))
+    near = lists.withColumn("band", band).join(heads_of, ["h", "band"]).select("gid", F.col("head.gid").alias("other"), F.col("n").alias("nx"), F.col("head.n").alias("ny"), F.col("pos").alias("px"), F.col("head.pos").alias("py"))
+    near = near.filter("gid <> other").filter(fits)
     first = near.select(F.col("other").alias("a"), F.col("gid").alias("b")).unionByName(member.filter("doc_id <> gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))).distinct()
     links = materialise(verified(first, sets, percent), "links")
     found = materialise(components(links), "components")

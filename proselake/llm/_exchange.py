@@ -25,6 +25,8 @@ BLOCK = pa.schema([("bucket", pa.int32()), ("answer", pa.bool_()), ("hs", pa.bin
 TOLD_DDL = "doc_id long, told binary"
 TOLD = pa.schema([("doc_id", pa.int64()), ("told", pa.binary())])
 FLUSH = 1 << 20
+SEEN = np.uint64(1 << 63)
+BODY = np.uint64((1 << 63) - 1)
 
 
 def pack_docs(docs: np.ndarray) -> bytes:
@@ -52,7 +54,7 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks_of(h: np.ndarray, doc: np.ndarray, buckets: int, answer: bool) -> pa.RecordBatch:
     """Pairs as one row a bucket, in order of the document."""
-    bucket = (doc % buckets if answer else h % np.uint64(buckets)).astype(np.int32)
+    bucket = (doc % buckets if answer else (h & BODY) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((doc, bucket))
     h, doc, bucket = h[order], doc[order], bucket[order]
     start, size = runs(bucket)
@@ -61,6 +63,12 @@ def blocks_of(h: np.ndarray, doc: np.ndarray, buckets: int, answer: bool) -> pa.
     return pa.RecordBatch.from_arrays(cols, schema=BLOCK)
 
 
+def counted(doc: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Answers that hold, for each document, how often it is in `doc`."""
+    ids, n = np.unique(doc, return_counts=True)
+    return blocks_of(n.astype(np.uint64), ids, buckets, answer=True)
+
+
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     hs = [np.frombuffer(b, np.uint64) for b in table["hs"].to_pylist()]
     docs = [unpack_docs(b, len(x)) for b, x in zip(table["docs"].to_pylist(), hs, strict=True)]
@@ -72,16 +80,18 @@ class Packer:
 
     later_only: a reply goes to documents above the smallest one with the fingerprint;
     otherwise to every document whose fingerprint another document has too.
+    counts: replies are numbers of fingerprints. Then each pair is answered once: here, or by its
+    bucket if it left the task; the top bit of a fingerprint says that the task has seen it shared.
     """
 
-    def __init__(self, buckets: int, later_only: bool):
-        self.buckets, self.later_only = buckets, later_only
+    def __init__(self, buckets: int, later_only: bool, counts: bool = False):
+        self.buckets, self.later_only, self.counts = buckets, later_only, counts
         self.h: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
         self.n = 0
 
     def add(self, h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.h.append(h)
+        self.h.append(h & BODY if self.counts else h)
         self.doc.append(doc)
         self.n += len(h)
         if self.n >= FLUSH:
@@ -94,10 +104,12 @@ class Packer:
         self.h, self.doc, self.n = [], [], 0
         start, size = runs(h)
         told = np.repeat(size > 1, size)
-        if self.later_only:
+        if self.later_only or self.counts:
             told[start] = False
         if told.any():
-            yield blocks_of(h[told], doc[told], self.buckets, answer=True)
+            yield counted(doc[told], self.buckets) if self.counts else blocks_of(h[told], doc[told], self.buckets, answer=True)
+        if self.counts:
+            h[start[size > 1]] |= SEEN
         yield blocks_of(h[start], doc[start], self.buckets, answer=False)
 
 
@@ -119,6 +131,37 @@ def meet(buckets: int, later_only: bool):
     return f
 
 
+def meet_counts(buckets: int):
+    """As meet, with numbers for answers."""
+
+    def f(table: pa.Table) -> pa.Table:
+        done = table.filter(table["answer"])
+        table = table.filter(pc.invert(table["answer"]))
+        if not len(table):
+            return done
+        h, doc = unpack(table)
+        order = np.lexsort((doc, h & BODY))
+        h, doc = h[order], doc[order]
+        start, size = runs(h & BODY)
+        shared = (doc[start] != doc[start + size - 1]) | np.logical_or.reduceat(h >= SEEN, start)
+        return pa.concat_tables([done, pa.Table.from_batches([counted(doc[np.repeat(shared, size)], buckets)], BLOCK)])
+
+    return f
+
+
+def gather_counts(table: pa.Table) -> pa.Table:
+    """For applyInArrow over one bucket of answers: one row per document."""
+    n, doc = unpack(table)
+    ids, at = np.unique(doc, return_inverse=True)
+    return pa.table({"doc_id": ids, "shared": np.bincount(at, n.astype(np.float64), len(ids)).astype(np.int64)})
+
+
+def shared_counts(blocks: DataFrame, buckets: int) -> DataFrame:
+    """One row per document that has any: doc_id and the number of its fingerprints that others have too."""
+    met = blocks.groupBy("bucket").applyInArrow(meet_counts(buckets), BLOCK_DDL)
+    return met.groupBy("bucket").applyInArrow(gather_counts, "doc_id long, shared long")
+
+
 def gather(table: pa.Table) -> pa.Table:
     """For applyInArrow over one bucket of answers: one row per document."""
     doc, h = distinct_pairs(*reversed(unpack(table)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._exchange import BLOCK, BLOCK_DDL, Packer, replies
+from ._exchange import BLOCK, BLOCK_DDL, Packer, shared_counts
 from ._store import keyed_text, materialise, partitions, table
 from ._words import _COEF, mix, slices
 
@@ -47,7 +47,7 @@ def _wide(b: pa.RecordBatch) -> pa.RecordBatch:
 
 def _scan(k: int, buckets: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets, later_only=False)
+        packer = Packer(buckets, later_only=False, counts=True)
         for batch in batches:
             ids, valid = _ids(batch)
             for s in slices(batch["text"], lower=True):
@@ -123,7 +123,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = lambda n: F.floor((n * percent + 99) / 100).cast("long")  # noqa: E731  ceil(percent * n / 100)
 
     scan = materialise(docs.mapInArrow(_scan(k, partitions(spark)), SCAN_DDL), "shingle-scan")
-    shared = replies(scan.filter("bucket is not null").select("bucket", "answer", "hs", "docs"), partitions(spark), later_only=False).select("doc_id", (F.length("told") / 8).cast("long").alias("shared"))
+    shared = shared_counts(scan.filter("bucket is not null").select("bucket", "answer", "hs", "docs"), partitions(spark))
     facts = scan.filter("bucket is null").select("doc_id", "n", "sampled", "key")
     classes = facts.filter("n > 0 and doc_id is not null").groupBy("n", "key").agg(F.min("doc_id").alias("rep"))
     facts = facts.join(shared, "doc_id", "left").join(classes, ["n", "key"], "left")

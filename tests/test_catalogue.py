@@ -1,6 +1,6 @@
 import pytest
 
-from proselake.plans.catalogue import CATALOGUE, oracle_sql, queries
+from proselake.plans.registry import CATALOGUE, oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
 

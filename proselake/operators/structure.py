@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import markers
 from proselake.functions.hangul import FIRST, LAST
-from proselake.functions.text import sentence_array, strip
+from proselake.functions.text import sentence_array, strip, word_array
 from proselake.sources.markdown import add_sections, parse_markdown
 
 RULES: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]] = {}
@@ -195,3 +195,116 @@ def promise_recall(s: DataFrame) -> DataFrame:
     promise, recall = markers.has_any(F.col("quote"), markers.PROMISES), markers.has_any(F.col("quote"), markers.RECALLS)
     d = s.groupBy("doc_id").agg(F.min(F.when(promise, F.struct("pos", "line", "quote"))).alias("p"), F.max(recall.cast("int")).alias("recalled"))
     return d.filter("p is not null and recalled = 0").select("doc_id", "p.line", "p.quote")
+
+
+@rule("longSentence", "notice", "sentences")
+def long_sentence(s: DataFrame, most: int = 30) -> DataFrame:
+    return s.filter(F.size(word_array(F.col("quote"))) > most)
+
+
+@rule("euiChain", "error", "sentences")
+def genitive_chain(s: DataFrame) -> DataFrame:
+    """Three genitives in a sentence, or two side by side."""
+    count, adjacent = markers.genitives(F.col("quote"))
+    return s.filter((count >= 3) | ((count >= 2) & adjacent))
+
+
+@rule("negationRedefine", "error", "sentences")
+def negation_redefine(s: DataFrame) -> DataFrame:
+    """"Not simply X" right before a sentence of the paragraph that ends in the copula."""
+    after = F.lead("quote").over(Window.partitionBy("doc_id", "block_index").orderBy("place"))
+    return s.withColumn("after", after).filter(F.col("quote").rlike(markers.NEGATION) & F.col("after").rlike(markers.DEFINITION))
+
+
+@rule("endingRepeat", "notice", "sentences")
+def ending_repeat(s: DataFrame, least: int = 4) -> DataFrame:
+    """A run of one ending in a section without a cause or a call to the reader; questions, commands and unknown endings break runs."""
+    s = s.withColumn("ending", markers.ending_of(F.col("quote"))).withColumn("lively", markers.has_any(F.col("quote"), markers.CAUSES + markers.READER_CALLS))
+    section = Window.partitionBy("doc_id", "section_index").orderBy("pos")
+    island = F.row_number().over(section) - F.row_number().over(Window.partitionBy("doc_id", "section_index", "ending").orderBy("pos"))
+    runs = s.withColumn("island", island).filter(~F.col("ending").isin(markers.NO_ENDING, markers.QUESTION, markers.COMMAND)).groupBy("doc_id", "section_index", "ending", "island")
+    runs = runs.agg(F.count(F.lit(1)).alias("n"), F.max("lively").alias("lively"), F.min(F.struct("pos", "line", "quote")).alias("f"))
+    return runs.filter((F.col("n") >= least) & ~F.col("lively")).select("doc_id", "f.line", "f.quote")
+
+
+@rule("factListParagraph", "notice", "sentences")
+def fact_list_paragraph(s: DataFrame, least: int = 3, mean: int = 8) -> DataFrame:
+    """Short sentences of one paragraph that nothing links."""
+    q = F.col("quote")
+    linked = markers.has_any(q, markers.CAUSES + markers.READER_CALLS) | markers.connector_of(q).isNotNull() | (markers.mood_of(q, markers.ending_of(q)) == markers.QUESTION)
+    p = s.groupBy("doc_id", "block_index").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(word_array(q))).alias("words"), F.max(linked).alias("linked"), F.min(F.struct("pos", "line", "quote")).alias("f"))
+    return p.filter((F.col("n") >= least) & (F.col("words") <= mean * F.col("n")) & ~F.col("linked")).select("doc_id", "f.line", "f.quote")
+
+
+@rule("bridgeRepeat", "error", "sentences")
+def bridge_repeat(s: DataFrame, least: int = 3) -> DataFrame:
+    """Sections whose last sentence announces the next one, from `least` of them on."""
+    last = s.filter("section_index > 0").groupBy("doc_id", "section_index").agg(F.max(F.struct("pos", "line", "quote")).alias("f"))
+    last = last.filter(markers.has_any(F.col("f.quote"), markers.BRIDGES)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f"))
+    return last.filter(F.col("n") >= least).select("doc_id", "f.line", "f.quote")
+
+
+@rule("paraFragment", "error", "blocks")
+def para_fragment(blocks: DataFrame, least: int = 3) -> DataFrame:
+    """Paragraphs of one or two sentences in a row; other blocks and longer paragraphs break the row."""
+    section = Window.partitionBy("doc_id", "section_index").orderBy("block_index")
+    b = blocks.withColumn("said", sentence_array(F.col("text"))).withColumn("short", (F.col("kind") == "prose") & (F.size("said") <= 2))
+    b = b.withColumn("island", F.sum((~F.col("short")).cast("int")).over(section)).filter("short")
+    runs = b.groupBy("doc_id", "section_index", "island").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block_index", "start_line", F.get("said", F.lit(0)).alias("quote"))).alias("f"))
+    return runs.filter(F.col("n") >= least).select("doc_id", F.col("f.start_line").alias("line"), "f.quote")
+
+
+@rule("noQuestion", "notice", "blocks")
+def no_question(blocks: DataFrame) -> DataFrame:
+    """Two or more sections and no question in sentences or headings."""
+    said = sentence_array(F.col("text"))
+    asked = F.when(F.col("kind") == "prose", F.exists(said, lambda q: markers.mood_of(q, markers.ending_of(q)) == markers.QUESTION)).otherwise((F.col("kind") == "heading") & F.col("text").contains("?"))
+    first = F.min(F.when(F.col("kind") == "prose", F.struct("block_index", "start_line", F.get(said, F.lit(0)).alias("quote"))))
+    d = blocks.groupBy("doc_id").agg(F.max("section_index").alias("sections"), F.max(asked).alias("asked"), first.alias("f"))
+    return d.filter((F.col("sections") >= 2) & ~F.col("asked")).select("doc_id", F.coalesce("f.start_line", F.lit(1)).alias("line"), F.coalesce("f.quote", F.lit("")).alias("quote"))
+
+
+@rule("moreLater", "notice", "blocks")
+def more_later(blocks: DataFrame, most: int = 150) -> DataFrame:
+    """The longest list item of the last section, where one is too long; continuation lines count, link targets and marks do not."""
+    bullet = r"\s*(?:[-*+]|[0-9]+[.)])\s+"
+    b = blocks.withColumn("last", F.max("section_index").over(Window.partitionBy("doc_id"))).filter("last > 0 and section_index = last and kind = 'list'")
+    items = b.select("doc_id", "block_index", "start_line", F.posexplode(F.split("text", rf"\n(?={bullet})")).alias("i", "item"))
+    above = F.sum(F.size(F.split("item", "\n"))).over(Window.partitionBy("doc_id", "block_index").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    items = items.withColumn("line", (F.col("start_line") + F.coalesce(above, F.lit(0))).cast("int"))
+    plain = F.regexp_replace(F.regexp_replace("item", f"^{bullet}", ""), r"\s*\n\s*", " ")
+    items = items.withColumn("quote", strip(F.regexp_replace(F.regexp_replace(plain, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), "[*`]", "")))
+    return items.filter(F.length("quote") > most).groupBy("doc_id").agg(F.max_by(F.struct("line", "quote"), F.struct(F.length("quote"), -F.col("line"))).alias("f")).select("doc_id", "f.line", "f.quote")
+
+
+@rule("tableOddCell", "notice", "blocks")
+def table_odd_cell(blocks: DataFrame, least: int = 4) -> DataFrame:
+    """The one cell of a table column that is no measure where all others have one unit. The first row and the first column are names."""
+    rows = blocks.filter("kind = 'table'").select("doc_id", "block_index", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("l", strip(F.col("l"))).filter(F.col("l").startswith("|"))
+    rows = rows.withColumn("cells", F.transform(F.split(F.regexp_replace("l", r"^\|+|\|+$", ""), r"\|", -1), strip)).filter(~F.forall("cells", lambda c: (c == "") | c.rlike("^:?-{2,}:?$")))
+    table = Window.partitionBy("doc_id", "block_index")
+    rows = rows.withColumn("n", F.row_number().over(table.orderBy("i"))).filter("n > 1").withColumn("width", F.min(F.size("cells")).over(table))
+    cells = rows.select("doc_id", "block_index", (F.col("start_line") + F.col("i")).alias("line"), "width", F.posexplode("cells").alias("column", "quote")).filter("column > 0 and column < width and quote not in ('', '-', '--')")
+    unit = F.nullif(F.regexp_extract("quote", r"^[+-]?[0-9][0-9,]*(?:\.[0-9]+)?\s*([^\s0-9]{1,6})$", 1), F.lit(""))
+    c = cells.withColumn("unit", unit).groupBy("doc_id", "block_index", "column").agg(F.count(F.lit(1)).alias("n"), F.count("unit").alias("measured"), F.min("unit").alias("lo"), F.max("unit").alias("hi"), F.min(F.when(F.col("unit").isNull(), F.struct("line", "quote"))).alias("f"))
+    return c.filter((F.col("n") >= least) & (F.col("measured") == F.col("n") - 1) & (F.col("lo") == F.col("hi"))).select("doc_id", "f.line", "f.quote")
+
+
+@rule("numberOrphan", "notice", "blocks")
+def number_orphan(blocks: DataFrame) -> DataFrame:
+    """A change "from A to B" whose A appears nowhere before: neither in earlier sentences or blocks nor earlier in the sentence."""
+    s = prose_sentences(blocks)
+    other = blocks.filter("kind <> 'prose'").select("doc_id", F.struct("block_index", F.lit(-1).alias("place")).alias("pos"), F.explode(markers.numerals_of(F.col("text"))).alias("base"))
+    first = s.select("doc_id", "pos", F.explode(markers.numerals_of(F.col("quote"))).alias("base")).unionByName(other).groupBy("doc_id", "base").agg(F.min("pos").alias("first_pos"))
+    m = s.select("doc_id", "pos", "line", "quote", F.explode(F.regexp_extract_all("quote", F.lit(markers.FROM_TO), F.lit(0))).alias("change"))
+    m = m.select("*", *[F.replace(F.regexp_extract("change", markers.FROM_TO, g), F.lit(","), F.lit("")).alias(name) for g, name in ((1, "base"), (2, "to"))])
+    m = m.withColumn("before", F.expr("left(quote, instr(quote, change) - 1)")).filter("base <> to and (contains(base, '.') or length(base) >= 2)")
+    m = m.filter(~F.array_contains(markers.numerals_of(F.col("before")), F.col("base")) & ~markers.has_any(F.expr("right(before, 12)"), markers.ANCHORS))
+    return m.join(first, ["doc_id", "base"], "left").filter("first_pos is null or first_pos >= pos").select("doc_id", "line", "quote").distinct()
+
+
+@rule("platformApi", "notice", "blocks")
+def platform_api(blocks: DataFrame) -> DataFrame:
+    """Lines of code, not of output, that run on one system only."""
+    code = blocks.filter((F.col("kind") == "code") & ~F.col("language").isin(OUTPUTS)).select("doc_id", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    return code.filter(markers.has_any(F.col("l"), markers.PLATFORM_APIS)).select("doc_id", (F.col("start_line") + F.col("i")).alias("line"), strip(F.col("l")).alias("quote"))

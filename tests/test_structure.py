@@ -21,6 +21,18 @@ CASES = {
     "doubleNegative": ("가지 않을 수 없다.\n", [1], "가지 않는다.\n"),
     "enoughOnce": ("여기까지 하면 충분하다. 이 정도면 충분하다.\n", [1], "여기까지 하면 충분하다.\n"),
     "promiseRecall": ("이 값은 뒤에서 다루겠다.\n", [1], "이 값은 뒤에서 다루겠다. 앞에서 말한 값이다.\n"),
+    "longSentence": ("가 " * 30 + "간다.\n", [1], "가 " * 29 + "간다.\n"),
+    "euiChain": ("회사의 팀의 일이다.\n", [1], "정의 리소스의 값이다.\n"),
+    "negationRedefine": ("단순한 도구가 아닙니다. 새 기준입니다.\n", [1], "단순한 도구가 아닙니다. 그래서 어렵습니다.\n"),
+    "endingRepeat": ("비가 옵니다. 눈이 옵니다. 해가 뜹니다. 달이 뜹니다.\n", [1], "비가 옵니다. 그래서 눈이 옵니다. 해가 뜹니다. 달이 뜹니다.\n"),
+    "factListParagraph": ("비가 온다. 눈이 온다. 해가 뜬다.\n", [1], "비가 온다. 그래서 눈이 온다. 해가 뜬다.\n"),
+    "bridgeRepeat": ("## 가\n\n이번에는 간다.\n\n## 나\n\n이제 온다.\n\n## 다\n\n이어서 본다.\n", [3], "## 가\n\n이번에는 간다.\n\n## 나\n\n이제 온다.\n"),
+    "paraFragment": ("가다.\n\n나다.\n\n다다.\n", [1], "가다.\n\n나다.\n\n```py\nx\n```\n\n다다.\n"),
+    "noQuestion": ("## 가\n\n간다.\n\n## 나\n\n온다.\n", [3], "## 왜?\n\n간다.\n\n## 나\n\n온다.\n"),
+    "moreLater": ("## 가\n\n- 짧다\n- " + "가" * 80 + "\n  " + "나" * 80 + "\n", [4], "- " + "가" * 200 + "\n\n## 나\n\n- [짧다](" + "x" * 200 + ")\n"),
+    "tableOddCell": ("| a | b |\n|---|---|\n| x | 1초 |\n| y | 2초 |\n| z | 3초 |\n| w | 없음 |\n", [6], "| a | b |\n|---|---|\n| x | 1초 |\n| y | 2초 |\n| z | 없음 |\n| w | 없음 |\n"),
+    "numberOrphan": ("값이 453MB에서 700MB로 올랐다.\n", [1], "값은 453MB다.\n\n값이 453MB에서 700MB로 올랐다.\n"),
+    "platformApi": ("```py\nimport winreg\n```\n", [2], "```text\nimport winreg\n```\n"),
 }
 
 

@@ -14,6 +14,9 @@ may be missing in its partner.
    number of pairs in proportion to the lists. What that links is contracted to components. Then group pairs that still
    lie in different components pass the size and position filters and are expanded and verified, so a
    hot list of near copies costs no quadratic work, and no link between components is lost.
+4. `jaccard_links` counts every link as well. All links lie inside components, so the sets of each are
+   dealt to blocks by size band and hash, and each pair of blocks whose bands may link is one unit that
+   counts overlaps by its postings. Only sums leave a unit; its work grows with the pairs that overlap.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._exchange import BLOCK, BLOCK_DDL, Packer, shared_counts
+from ._exchange import BLOCK, BLOCK_DDL, Packer, distinct_pairs, shared_counts
 from ._store import keyed_text, materialise, partitions, table
 from ._words import _COEF, mix, slices
 
 SAMPLE_SHARE = 0.35
+BLOCK_SHINGLES = 1 << 18  # of a component's size band; beyond it, the band is dealt to several blocks
+EXPANDED = 1 << 22  # postings and cells of overlap counts held at once
 SCAN_DDL = f"{BLOCK_DDL}, doc_id long, n long, sampled long, key binary"
 SCAN = pa.schema([*BLOCK, ("doc_id", pa.int64()), ("n", pa.int64()), ("sampled", pa.int64()), ("key", pa.binary())])
 
@@ -107,17 +113,79 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their weights and set sizes; entries (document, fingerprint) in order of both, and in order of the fingerprint."""
+    hs = table["hs"].combine_chunks()
+    size = pc.list_value_length(hs).to_numpy()
+    c = table["c"].to_numpy().view(np.uint64)
+    ids, first, at = np.unique(table["doc_id"].to_numpy(), return_index=True, return_inverse=True)
+    h = mix(hs.flatten().to_numpy().view(np.uint64) + np.repeat(mix(c), size))
+    h, doc = distinct_pairs(h, np.repeat(at, size))
+    return ids, table["w"].to_numpy()[first], np.bincount(doc, minlength=len(ids)), doc, h, np.argsort(doc, kind="stable")
+
+
+def _count_links(percent: int):
+    """For applyInArrow over one unit: for each document, the weights of those that it links with."""
+
+    def f(table: pa.Table) -> pa.Table:
+        inner = table.filter(pc.equal(table["side"], 0))
+        sides = [inner, inner] if len(inner) else [table.filter(pc.equal(table["side"], i)) for i in (1, 2)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        ids, w, n, doc, h, by_doc = _side(sides[0])
+        ids2, w2, n2, doc2, h2, _ = _side(sides[1])
+        doc, h = doc[by_doc], h[by_doc]
+        lo = np.searchsorted(h2, h, "left")
+        met = np.searchsorted(h2, h, "right") - lo
+        first = np.searchsorted(doc, np.arange(len(ids) + 1))
+        upto = np.r_[0, np.cumsum(met)][first]
+        links, links2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
+        at = 0
+        while at < len(ids):
+            to = min(int(np.searchsorted(upto, upto[at] + EXPANDED, "right")) - 1, at + EXPANDED // len(ids2), len(ids))
+            to = max(to, at + 1)
+            e = slice(first[at], first[to])
+            m = met[e]
+            hit = doc2[np.repeat(lo[e] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())] if m.sum() else np.zeros(0, np.int64)
+            cell = np.bincount(np.repeat(doc[e] - at, m) * len(ids2) + hit, minlength=0)
+            some = np.flatnonzero(cell)
+            x, y, both = some // len(ids2) + at, some % len(ids2), cell[some]
+            good = (100 * both >= percent * (n[x] + n2[y] - both)) & (ids[x] != ids2[y])
+            np.add.at(links, x[good], w2[y[good]])
+            np.add.at(links2, y[good], w[x[good]])
+            at = to
+        if len(inner):  # each pair was met from both ends
+            return pa.table({"doc_id": ids, "links": links})
+        return pa.table({"doc_id": np.r_[ids, ids2], "links": np.r_[links, links2]})
 
-    Words are split at blanks after lower-casing A-Z; a document's set holds its distinct k-word
-    shingles, or its whole sequence where it has fewer words. Null and empty texts have an empty set
-    and link with nothing. Two documents link when 100 * overlap >= percent * union.
+    return f
 
-    docs: doc_id long, text string; other columns are ignored. doc_id names a document: rows that
-    repeat it share one component. A null doc_id links with nothing and has a null component.
-    An empty table gives an empty table.
-    """
+
+def _links(members: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(doc_id, links) from doc_id, c (its component), n, w (its weight) and hs: the weights of all linked documents."""
+    width = max(float(np.log(100 / percent)), 1e-6) * (1 + 1e-9)  # sizes that may link are in the same band or the next
+    members = members.withColumn("band", F.floor(F.log("n") / width))
+    whole = F.sum("n") <= BLOCK_SHINGLES
+    small = members.groupBy("c").agg(whole.alias("small"))
+    bands = members.groupBy("c", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).join(small, "c")
+    over = bands.select("c", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    under = bands.select("c", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    bands = bands.join(over, ["c", "band"], "left").join(under, ["c", "band"], "left")
+    slot = F.expr("pmod(xxhash64(doc_id), blocks)").cast("int")
+    dealt = members.join(bands, ["c", "band"]).withColumn("slot", slot)
+    # a unit is named by its two blocks, the lower band or slot first
+    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.xxhash64("c", "band", F.least("slot", i), F.lit(0), F.greatest("slot", i)).alias("unit"), F.when(i == F.col("slot"), 0).when(F.col("slot") < i, 1).otherwise(2).alias("side")))
+    up = F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda i: F.struct(F.xxhash64("c", "band", "slot", F.lit(1), i).alias("unit"), F.lit(1).alias("side")))
+    down = F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda i: F.struct(F.xxhash64("c", F.col("band") - 1, i, F.lit(1), "slot").alias("unit"), F.lit(2).alias("side")))
+    none = F.expr("cast(array() as array<struct<unit: bigint, side: int>>)")
+    bucket = F.array(F.struct(F.expr(f"pmod(xxhash64(c), {buckets})").alias("unit"), F.lit(0).alias("side")))
+    units = F.when(F.col("small"), bucket).otherwise(F.concat(own, F.coalesce(up, none), F.coalesce(down, none)))
+    dealt = dealt.select("doc_id", "c", "w", "hs", F.explode(units).alias("u")).select("u.unit", "u.side", "doc_id", "c", "w", "hs")
+    return dealt.groupBy("unit").applyInArrow(_count_links(percent), "doc_id long, links long").groupBy("doc_id").agg(F.sum("links").alias("links"))
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, rep), the sets of the representatives that may link, and (rep, component) of those that do."""
     spark = docs.sparkSession
     docs = keyed_text(docs)
     least = lambda n: F.floor((n * percent + 99) / 100).cast("long")  # noqa: E731  ceil(percent * n / 100)
@@ -169,17 +237,50 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = rest.join(part.select(F.col("gid").alias("gx"), F.col("c").alias("cx"), F.col("doc_id").alias("x")), ["gx", "cx"]).join(part.select(F.col("gid").alias("gy"), F.col("c").alias("cy"), F.col("doc_id").alias("y")), ["gy", "cy"])
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(materialise(verified(rest, sets, percent), "links"))
+    return facts, sets, components(links).select(F.col("node").alias("rep"), "component")
+
 
-    final = components(links).select(F.col("node").alias("rep"), "component")
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    Words are split at blanks after lower-casing A-Z; a document's set holds its distinct k-word
+    shingles, or its whole sequence where it has fewer words. Null and empty texts have an empty set
+    and link with nothing. Two documents link when 100 * overlap >= percent * union.
+
+    docs: doc_id long, text string; other columns are ignored. doc_id names a document: rows that
+    repeat it share one component. A null doc_id links with nothing and has a null component.
+    An empty table gives an empty table.
+    """
+    facts, _, final = _joined(docs, k, percent)
     out = facts.join(final, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """As jaccard_classes, with n_links: how many other documents the document links with, equal texts among them.
+
+    Links are counted between representatives of equal sets, each weighted with the size of its class.
+    """
+    facts, sets, final = _joined(docs, k, percent)
+    final = materialise(final, "final-components")
+    sizes = materialise(facts.filter("rep is not null and doc_id is not null").select("rep", "doc_id").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("w")), "class-sizes")
+    members = final.join(sizes, "rep").select(F.col("rep").alias("doc_id"), F.col("component").alias("c"), "w")
+    links = _links(materialise(sets.join(members, "doc_id"), "linked-sets"), percent, partitions(docs.sparkSession))
+    out = facts.join(final, "rep", "left").join(sizes, "rep", "left").join(links.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    n_links = F.when(F.col("doc_id").isNull() | F.col("rep").isNull(), F.lit(0).cast("long")).otherwise(F.col("w") - 1 + F.coalesce("links", F.lit(0)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), n_links.alias("n_links"))
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies."""
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and the number of its links."""
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
@@ -190,3 +291,8 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY 1, 2
 """
+
+OP4_LINKS_SQL = OP4_SQL[: OP4_SQL.rindex("SELECT w.doc_id")].rstrip() + """,
+q AS (SELECT a AS doc_id, count(*) AS q FROM e GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id, coalesce(q.q, 0)::BIGINT AS n_links FROM w LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id) JOIN r USING (doc_id) GROUP BY 1, 2, 4
+"""

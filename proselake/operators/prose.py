@@ -99,6 +99,26 @@ def override_match(docs: DataFrame) -> DataFrame:
     return lexicon_matches(docs).groupBy("doc_id", "pos").agg(F.max("ord").alias("ord"))
 
 
+def lexicon_spans(docs: DataFrame) -> DataFrame:
+    """Each match of each entry: start and end (from 0, in characters of the lower-cased sentence) and the entry's number."""
+    lower = F.lower("sentence")
+    rows = sentences(docs).select("doc_id", "pos", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.split(lower, rf"\b{p}\b", -1).alias("gaps"), F.regexp_extract_all(lower, F.lit(rf"\b{p}\b"), F.lit(0)).alias("hits")) for i, (p, _) in enumerate(LEXICON)])).alias("m"))
+    rows = rows.select("doc_id", "pos", "m.*").filter(F.size("hits") > 0).select("*", F.posexplode("hits").alias("i", "hit"))
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    start = length(F.slice("gaps", F.lit(1), F.col("i") + 1)) + length(F.slice("hits", F.lit(1), F.col("i")))
+    return rows.select("doc_id", "pos", start.alias("start_at"), (start + F.length("hit")).alias("end_at"), "ord")
+
+
+def earliest_match(docs: DataFrame) -> DataFrame:
+    """The match of each sentence that starts first; of several at one start the first entry in file order."""
+    return lexicon_spans(docs).groupBy("doc_id", "pos").agg(F.min(F.struct("start_at", "ord", "end_at")).alias("m")).select("doc_id", "pos", "m.start_at", "m.end_at", "m.ord")
+
+
+def override_spans(docs: DataFrame) -> DataFrame:
+    """Every matched span once, with the last entry in file order that matches it."""
+    return lexicon_spans(docs).groupBy("doc_id", "pos", "start_at", "end_at").agg(F.max("ord").alias("ord"))
+
+
 def dedupe_fold(docs: DataFrame) -> DataFrame:
     """Distinct sentences with digits folded to 0, the number of documents and the first document."""
     s = sentences(docs).withColumn("folded", F.regexp_replace("sentence", "[0-9]", "0"))

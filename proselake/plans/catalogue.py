@@ -31,6 +31,8 @@ NUMS = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '[0-9
 SW = S + f", w AS (SELECT DISTINCT doc_id, pos, unnest({WORDS.format('sentence')}) AS word FROM s)"
 ORPHANS = S + f", o AS (SELECT doc_id, numeral, min(pos) AS pos FROM (SELECT doc_id, pos, unnest({NUMS.format('sentence')}) AS numeral FROM s) GROUP BY 1, 2 HAVING count(*) = 1)"
 LEX = S + ", l AS (" + " UNION ALL ".join(rf"SELECT doc_id, pos, {i} AS ord, '{p}' AS pattern, len(regexp_extract_all(lower(sentence), '\b{p}\b')) AS n FROM s" for i, (p, _) in enumerate(prose.LEXICON)) + ")"
+#: A match found by its characters: the entry stands there and no letter, digit or underscore touches it.
+SPANS = S + ", n AS (SELECT doc_id, pos, lower(sentence) AS t FROM s), m AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, {i} AS ord, t, {len(p)} AS k, '{p}' AS pattern, unnest(range(length(t))) AS b FROM n WHERE contains(t, '{p}')" for i, (p, _) in enumerate(prose.LEXICON)) + """), g AS (SELECT doc_id, pos, b::INT AS start_at, (b + k)::INT AS end_at, ord FROM m WHERE substr(t, b + 1, k) = pattern AND NOT regexp_matches(substr(t, b + 1 + k, 1), '[a-z0-9_]') AND (b = 0 OR NOT regexp_matches(substr(t, b, 1), '[a-z0-9_]')))"""
 GRAMS = "SELECT doc_id, array_to_string(w[i:i + {0} - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {0} + 2)) AS i FROM (SELECT doc_id, " + WORDS.format("text") + " AS w FROM documents))"
 RUNS = "SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY {1}) - row_number() OVER (PARTITION BY {0}, {2} ORDER BY {1}) AS i FROM {3}"
 PRED = "WITH p AS (SELECT l.*, d.n_chars, d.lang, d.source, (d.n_chars >= 1500)::INT AS pred FROM labels l JOIN documents d USING (doc_id))"
@@ -55,6 +57,8 @@ CATALOGUE: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], str]] = {
     "lexicon_matches": (prose.lexicon_matches, _D, LEX + " SELECT doc_id, pos, ord, pattern, n::INT AS n FROM l WHERE n > 0"),
     "first_match": (prose.first_match, _D, LEX + " SELECT doc_id, pos, min(ord) AS ord FROM l WHERE n > 0 GROUP BY 1, 2"),
     "override_match": (prose.override_match, _D, LEX + " SELECT doc_id, pos, max(ord) AS ord FROM l WHERE n > 0 GROUP BY 1, 2"),
+    "earliest_match": (prose.earliest_match, _D, SPANS + ' SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY start_at, ord) = 1'),
+    "override_spans": (prose.override_spans, _D, SPANS + ' SELECT doc_id, pos, start_at, end_at, max(ord) AS ord FROM g GROUP BY ALL'),
     "sentence_dedupe_fold": (prose.dedupe_fold, _D, S + " SELECT regexp_replace(sentence, '[0-9]', '0', 'g') AS folded, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM s GROUP BY 1"),
     "ngram_doc_counts": (prose.ngram_documents, _D, "SELECT g AS chain, count(DISTINCT doc_id) AS documents FROM (" + GRAMS.format(3) + ") GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3"),
     "collocations_topk": (prose.collocations, _D, f"WITH x AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)) SELECT w[i + 1] AS after, count(DISTINCT doc_id) AS documents, count(*) AS n FROM x WHERE w[i] = 'the' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),

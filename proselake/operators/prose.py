@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proselake.functions.markers import HEDGES, count_of
 from proselake.functions.text import normal_words, numerals, sentences, strip
 from proselake.plans.windows import first_occurrence, percentiles, runs
 
@@ -36,6 +37,26 @@ def outside_profile(docs: DataFrame) -> DataFrame:
     return sentences(docs, "lang").join(profile, "lang").filter(F.least("words", F.lit(CAP)) > F.col("p99")).select("doc_id", "pos", "words", "p99")
 
 
+def sentence_values(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, lang, measure and value: length in words, commas, words that no earlier sentence has, hedges."""
+    s = sentences(docs, "lang").join(new_topics(docs), ["doc_id", "pos"], "left")
+    commas = F.length("sentence") - F.length(F.replace("sentence", F.lit(","), F.lit("")))
+    values = {"length": F.col("words"), "commas": commas, "newTopics": F.coalesce("new_words", F.lit(0)), "hedges": count_of(F.col("sentence"), HEDGES)}
+    return s.select("doc_id", "pos", "lang", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("long").alias("value")) for k, v in values.items()])).alias("m")).select("doc_id", "pos", "lang", "m.*")
+
+
+def outside_profile_measures(docs: DataFrame) -> DataFrame:
+    """Sentences that exceed the 99th percentile of their language in any measure, with the measure; a percentile of 0 disables it.
+
+    Histograms end at CAP, values are compared as they are.
+    """
+    values = sentence_values(docs)
+    hist = values.groupBy("lang", "measure", F.least("value", F.lit(CAP)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    profile = percentiles(hist, ["lang", "measure"], "value", "n", (99,)).filter("p99 > 0").withColumnsRenamed({"lang": "l", "measure": "m"})
+    over = F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")) & (F.col("value") > F.col("p99"))
+    return values.join(F.broadcast(profile), over).select("doc_id", "pos", "measure", "value", "p99")
+
+
 def initial_word_runs(docs: DataFrame) -> DataFrame:
     s = sentences(docs).withColumn("word", F.lower(F.regexp_extract("sentence", r"^([A-Za-z]+)", 1)))
     return runs(s, ["doc_id"], "pos", "word", 2).filter("word <> ''")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from proselake.functions.markers import HEDGES
 from proselake.operators import compare, prose
 
 _BLANK = r"[ \t\n\r\f\x0b]"
@@ -31,6 +32,7 @@ NUMS = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '[0-9
 SW = S + f", w AS (SELECT DISTINCT doc_id, pos, unnest({WORDS.format('sentence')}) AS word FROM s)"
 ORPHANS = S + f", o AS (SELECT doc_id, numeral, min(pos) AS pos FROM (SELECT doc_id, pos, unnest({NUMS.format('sentence')}) AS numeral FROM s) GROUP BY 1, 2 HAVING count(*) = 1)"
 LEX = S + ", l AS (" + " UNION ALL ".join(rf"SELECT doc_id, pos, {i} AS ord, '{p}' AS pattern, len(regexp_extract_all(lower(sentence), '\b{p}\b')) AS n FROM s" for i, (p, _) in enumerate(prose.LEXICON)) + ")"
+VALUES = SW + ", t AS (SELECT doc_id, pos, count(*) AS k FROM (SELECT doc_id, word, min(pos) AS pos FROM w GROUP BY 1, 2) GROUP BY 1, 2), f AS (SELECT s.*, coalesce(k, 0) AS k FROM s LEFT JOIN t USING (doc_id, pos)), v AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, lang, '{m}' AS measure, ({x})::BIGINT AS value FROM f" for m, x in (("length", "words"), ("commas", "length(sentence) - length(replace(sentence, ',', ''))"), ("newTopics", "k"), ("hedges", " + ".join(f"len(regexp_extract_all(sentence, '{p}'))" for p in HEDGES)))) + ")"
 #: A match found by its characters: the entry stands there and no letter, digit or underscore touches it.
 SPANS = S + ", n AS (SELECT doc_id, pos, lower(sentence) AS t FROM s), m AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, {i} AS ord, t, {len(p)} AS k, '{p}' AS pattern, unnest(range(length(t))) AS b FROM n WHERE contains(t, '{p}')" for i, (p, _) in enumerate(prose.LEXICON)) + """), g AS (SELECT doc_id, pos, b::INT AS start_at, (b + k)::INT AS end_at, ord FROM m WHERE substr(t, b + 1, k) = pattern AND NOT regexp_matches(substr(t, b + 1 + k, 1), '[a-z0-9_]') AND (b = 0 OR NOT regexp_matches(substr(t, b, 1), '[a-z0-9_]')))"""
 GRAMS = "SELECT doc_id, array_to_string(w[i:i + {0} - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {0} + 2)) AS i FROM (SELECT doc_id, " + WORDS.format("text") + " AS w FROM documents))"
@@ -47,6 +49,7 @@ CATALOGUE: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], str]] = {
     "length_histogram": (prose.length_histogram, _D, HIST + " SELECT * FROM h"),
     "length_percentiles": (prose.length_percentiles, _D, PCT + " SELECT * FROM p"),
     "outside_profile": (prose.outside_profile, _D, PCT + " SELECT doc_id, pos, words, p99 FROM s JOIN p USING (lang) WHERE least(words, 200) > p99"),
+    "outside_profile_measures": (prose.outside_profile_measures, _D, VALUES + ", h AS (SELECT lang, measure, least(value, 200) AS value, count(*) AS n FROM v GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY value) AS c, sum(n) OVER (PARTITION BY lang, measure) AS t FROM h), p AS (SELECT lang, measure, min(value) AS p99 FROM c WHERE c * 100 >= t * 99 GROUP BY 1, 2) SELECT doc_id, pos, v.measure, v.value, p99 FROM v JOIN p ON v.lang IS NOT DISTINCT FROM p.lang AND v.measure = p.measure WHERE p99 > 0 AND v.value > p99"),
     "initial_word_runs": (prose.initial_word_runs, _D, S + ", x AS (SELECT doc_id, pos, lower(regexp_extract(sentence, '^([A-Za-z]+)', 1)) AS word FROM s), r AS (" + RUNS.format("doc_id", "pos", "word", "x") + ") SELECT doc_id, word, min(pos) AS first_pos, count(*) AS run_length FROM r WHERE word <> '' GROUP BY doc_id, word, i HAVING count(*) >= 2"),
     "ending_char_runs": (prose.ending_runs, _D, S + ", x AS (SELECT doc_id, pos, right(regexp_replace(sentence, '[^A-Za-z]+$', ''), 1) AS ending FROM s), r AS (" + RUNS.format("doc_id", "pos", "ending", "x") + ") SELECT doc_id, ending, min(pos) AS first_pos, count(*) AS run_length FROM r WHERE ending <> '' GROUP BY doc_id, ending, i HAVING count(*) >= 3"),
     "ending_transitions": (prose.ending_transitions, _D, S + ", x AS (SELECT lang, right(sentence, 1) AS before, lead(right(sentence, 1)) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM s) SELECT lang, before, after, count(*) AS n FROM x WHERE after IS NOT NULL GROUP BY ALL"),

@@ -1,14 +1,8 @@
 """Benchmark decontamination: which documents hold which test items.
 
-A MinHash containment search with items partitioned by size. An item of n shingles is contained in a
-document when at least ceil(t*n) of them occur there, so of any n - ceil(t*n) + 1 of its shingles one
-must occur. An item's sketch holds that many minimum hashes (the largest number its size class
-needs); each size class carries the fewest shingles that a document needs to hold any of its items,
-and shorter documents skip the class. The search has no false negatives. Its candidates are verified
-by the exact number of the item's shingles in the document.
-
-All work is done by DataFrame functions. The one pass over the documents joins each of their
-shingles with the items' shingles; search and verification read the same matches.
+An exact join: each shingle of the documents meets the items' shingles, and an item is found where
+at least ceil(t*n) of its n shingles meet. No sketch is searched first. All work is done by
+DataFrame functions in one pass over the documents.
 """
 
 from __future__ import annotations
@@ -47,18 +41,15 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
     """
     own = items.filter("item_id is not null").select("item_id", F.explode(shingle_array(F.col("text"), k)).alias("h")).distinct()
     sized = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    sized = sized.withColumn("need", F.floor((F.col("n_item") * percent + 99) / 100)).withColumn("part", F.floor(F.log2("n_item")).cast("int"))
-    parts = sized.groupBy("part").agg(F.max(F.col("n_item") - F.col("need") + 1).alias("m"), F.min("need").alias("least"))
-    sized = sized.join(parts, "part")
-    ranked = own.join(sized, "item_id").groupBy("item_id", "n_item", "need", "m", "least").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    entries = ranked.select("item_id", "n_item", "need", "m", "least", F.posexplode("hs").alias("i", "h")).select("h", "item_id", "n_item", "need", "least", (F.col("i") < F.col("m")).alias("in_sketch"))
+    sized = sized.withColumn("need", F.floor((F.col("n_item") * percent + 99) / 100))
+    entries = own.join(sized, "item_id").select("h", "item_id", "n_item", "need")
     if entries.count() <= BROADCAST_ROWS:
         entries = F.broadcast(entries)
     said = keyed_text(docs).filter("doc_id is not null").select("doc_id", shingle_array(F.col("text"), k).alias("hs"))
-    said = said.select("doc_id", F.size("hs").alias("n_doc"), F.explode("hs").alias("h"))
-    met = said.join(entries, "h").groupBy("doc_id", "item_id", "n_item", "need", "h").agg(F.max(F.col("in_sketch") & (F.col("n_doc") >= F.col("least"))).alias("found"))
-    pairs = met.groupBy("doc_id", "item_id", "n_item", "need").agg(F.count(F.lit(1)).alias("n_common"), F.max("found").alias("candidate"))
-    return pairs.filter("candidate and n_common >= need").select("doc_id", "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
+    said = said.select("doc_id", F.explode("hs").alias("h"))
+    met = said.join(entries, "h").select("doc_id", "item_id", "n_item", "need", "h").distinct()
+    pairs = met.groupBy("doc_id", "item_id", "n_item", "need").agg(F.count(F.lit(1)).alias("n_common"))
+    return pairs.filter("n_common >= need").select("doc_id", "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ fingerprints only one entry, that of the smallest document, leaves the task. So
 a third of all documents hold costs one entry a flush, not one a document, and no bucket grows with it.
 What a task can already answer for the others it answers itself. Answers are blocks too, their
 bucket is `doc_id % buckets`, so that a document's answers come together in one row.
+
+Where a false equality would cost words, entries carry a second, independent fingerprint and are
+equal only if both are.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ._words import mix
 
-BLOCK_DDL = "bucket int, answer boolean, hs binary, docs binary"
-BLOCK = pa.schema([("bucket", pa.int32()), ("answer", pa.bool_()), ("hs", pa.binary()), ("docs", pa.binary())])
+BLOCK_DDL = "bucket int, answer boolean, hs binary, docs binary, others binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("answer", pa.bool_()), ("hs", pa.binary()), ("docs", pa.binary()), ("others", pa.binary())])
 TOLD_DDL = "doc_id long, told binary"
 TOLD = pa.schema([("doc_id", pa.int64()), ("told", pa.binary())])
 FLUSH = 1 << 20
@@ -46,20 +49,36 @@ def distinct_pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[new], doc[new]
 
 
+def distinct_wide(h: np.ndarray, other: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (h, other, doc), sorted in this order."""
+    order = np.lexsort((doc, other, h))
+    h, other, doc = h[order], other[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], other[new], doc[new]
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal values."""
     start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
     return start, np.diff(np.r_[start, len(x)])
 
 
-def blocks_of(h: np.ndarray, doc: np.ndarray, buckets: int, answer: bool) -> pa.RecordBatch:
+def wide_runs(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs in which both are equal."""
+    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(h)])
+
+
+def blocks_of(h: np.ndarray, doc: np.ndarray, buckets: int, answer: bool, other: np.ndarray | None = None) -> pa.RecordBatch:
     """Pairs as one row a bucket, in order of the document."""
     bucket = (doc % buckets if answer else (h & BODY) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((doc, bucket))
     h, doc, bucket = h[order], doc[order], bucket[order]
     start, size = runs(bucket)
     cut = [slice(a, a + n) for a, n in zip(start, size, strict=True)]
-    cols = [pa.array(bucket[start]), pa.array([answer] * len(cut), pa.bool_()), pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([pack_docs(doc[x]) for x in cut], pa.binary())]
+    others = pa.nulls(len(cut), pa.binary()) if other is None else pa.array([other[order][x].tobytes() for x in cut], pa.binary())
+    cols = [pa.array(bucket[start]), pa.array([answer] * len(cut), pa.bool_()), pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([pack_docs(doc[x]) for x in cut], pa.binary()), others]
     return pa.RecordBatch.from_arrays(cols, schema=BLOCK)
 
 
@@ -75,6 +94,11 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hs), np.concatenate(docs)
 
 
+def unpack_wide(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, doc = unpack(table)
+    return h, np.concatenate([np.frombuffer(b, np.uint64) for b in table["others"].to_pylist()]), doc
+
+
 class Packer:
     """Gathers pairs and flushes them as blocks and local replies.
 
@@ -82,17 +106,21 @@ class Packer:
     otherwise to every document whose fingerprint another document has too.
     counts: replies are numbers of fingerprints. Then each pair is answered once: here, or by its
     bucket if it left the task; the top bit of a fingerprint says that the task has seen it shared.
+    With second fingerprints, add() gets them in every call.
     """
 
     def __init__(self, buckets: int, later_only: bool, counts: bool = False):
         self.buckets, self.later_only, self.counts = buckets, later_only, counts
         self.h: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
+        self.other: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, h: np.ndarray, doc: np.ndarray, other: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         self.h.append(h & BODY if self.counts else h)
         self.doc.append(doc)
+        if other is not None:
+            self.other.append(other)
         self.n += len(h)
         if self.n >= FLUSH:
             yield from self.flush()
@@ -100,9 +128,13 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        h, doc = distinct_pairs(np.concatenate(self.h), np.concatenate(self.doc))
-        self.h, self.doc, self.n = [], [], 0
-        start, size = runs(h)
+        if self.other:
+            h, other, doc = distinct_wide(np.concatenate(self.h), np.concatenate(self.other), np.concatenate(self.doc))
+            start, size = wide_runs(h, other)
+        else:
+            (h, doc), other = distinct_pairs(np.concatenate(self.h), np.concatenate(self.doc)), None
+            start, size = runs(h)
+        self.h, self.doc, self.other, self.n = [], [], [], 0
         told = np.repeat(size > 1, size)
         if self.later_only or self.counts:
             told[start] = False
@@ -110,7 +142,7 @@ class Packer:
             yield counted(doc[told], self.buckets) if self.counts else blocks_of(h[told], doc[told], self.buckets, answer=True)
         if self.counts:
             h[start[size > 1]] |= SEEN
-        yield blocks_of(h[start], doc[start], self.buckets, answer=False)
+        yield blocks_of(h[start], doc[start], self.buckets, answer=False, other=None if other is None else other[start])
 
 
 def meet(buckets: int, later_only: bool):
@@ -121,8 +153,12 @@ def meet(buckets: int, later_only: bool):
         table = table.filter(pc.invert(table["answer"]))
         if not len(table):
             return done
-        h, doc = distinct_pairs(*unpack(table))
-        start, size = runs(h)
+        if table["others"].null_count:
+            h, doc = distinct_pairs(*unpack(table))
+            start, size = runs(h)
+        else:
+            h, other, doc = distinct_wide(*unpack_wide(table))
+            start, size = wide_runs(h, other)
         told = np.repeat(size > 1, size)
         if later_only:
             told[start] = False

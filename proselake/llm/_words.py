@@ -1,13 +1,20 @@
-"""Words and word n-grams of whole texts as 64-bit fingerprints, vectorised over Arrow buffers.
+"""Words and word n-grams of whole texts as keyed fingerprints, vectorised over Arrow buffers.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which for UTF-8 is the regular
 expression `[^\\x20\\x09-\\x0D]+`. Texts are taken in slices of about SLICE bytes, so memory stays
 constant however large an Arrow batch is; a longer text is a slice of its own.
+
+A word's fingerprint is multilinear: each byte is multiplied by the key of its place and the products
+are added modulo 2**64. The keys are drawn from a secret that is new in every run (`new_secret`), so
+two different words get one fingerprint with a probability of at most 2**-57, whatever the words are;
+no pair of words can be built that collides always. A second lane has keys of its own.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,15 +22,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
+BLOCK = 1 << 16  # bytes of a word that have keys of their own; blocks of longer words are chained
 _rng = np.random.Generator(np.random.PCG64(20240531))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_COEF = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.arange(1, 257, dtype=np.uint64)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_COEF = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 _WS = np.zeros(256, bool)
 _WS[[32, *range(9, 14)]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def new_secret() -> int:
+    """Key of the fingerprints of one run; every task of the run gets the same."""
+    return secrets.randbits(62)
+
+
+@lru_cache(maxsize=8)
+def _keys(secret: int, lane: int) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(key=[secret, lane])).integers(0, 2**64, BLOCK + 1, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,14 +51,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE * 2)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, np.uint64(base), np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def _fingerprints(value: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, secret: int, lane: int) -> np.ndarray:
+    """Fingerprint of each word from the values and places of its bytes."""
+    keys = _keys(secret, lane)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * keys[place], out=total[1:])
+    size = end - begin
+    h = total[end] - total[begin]
+    for i in np.flatnonzero(size > BLOCK):  # few: each holds BLOCK bytes or more
+        cut = np.r_[np.arange(begin[i], end[i], BLOCK), end[i]]
+        chain = 0
+        for part in (total[cut[1:]] - total[cut[:-1]]).tolist():
+            chain = ((chain ^ part) * int(keys[BLOCK]) + part) % ((1 << 61) - 1)
+        h[i] = chain
+    return mix(h + size.astype(np.uint64) * _COEF[41])
 
 
 @dataclass
@@ -56,6 +78,7 @@ class Slice:
     end: np.ndarray
     first: np.ndarray  # for each text, the index of its first word; one entry more at the end
     data: np.ndarray
+    other: np.ndarray | None = None  # second, independent fingerprint of each word
 
     @property
     def count(self) -> np.ndarray:
@@ -65,35 +88,39 @@ class Slice:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), self.count)
 
-    def ngrams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def ngrams(self, k: int, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprint of the k words from each word on, and which of them lie in one text."""
-        n, m = len(self.word), max(len(self.word) - k + 1, 0)
+        word = self.word if word is None else word
+        n, m = len(word), max(len(word) - k + 1, 0)
         h = np.zeros(m, np.uint64)
         for j in range(k):
-            h += self.word[j : j + m] * _COEF[j]
+            h += word[j : j + m] * _COEF[j]
         last = np.repeat(self.first[1:], self.count)[:m]
         return mix(h), (np.arange(m) + k <= last) if n else np.zeros(0, bool)
 
-    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct k-word shingles: (text, fingerprint), sorted. A text of fewer words has its whole sequence as one."""
+    def _short(self, word: np.ndarray, short: np.ndarray, k: int) -> np.ndarray:
+        """Fingerprints of the whole sequences of texts of fewer than k words."""
+        s = np.zeros(len(short), np.uint64)
+        for j in range(k - 1):
+            has = self.count[short] > j
+            s[has] += word[self.first[short][has] + j] * _COEF[j]
+        return mix(s + self.count[short].astype(np.uint64) * _COEF[40])
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Distinct k-word shingles: (text, fingerprint), sorted, and the second fingerprint. A text of fewer words has its whole sequence as one."""
         h, whole = self.ngrams(k)
         at = np.flatnonzero(whole)
         text, h = self.text_of[at], h[at]
+        other = self.ngrams(k, self.other)[0][at] if self.other is not None else None
         short = np.flatnonzero((self.count > 0) & (self.count < k))
         if len(short):
-            s = np.zeros(len(short), np.uint64)
-            for j in range(k - 1):
-                has = self.count[short] > j
-                s[has] += self.word[self.first[short][has] + j] * _COEF[j]
-            s = mix(s + self.count[short].astype(np.uint64) * _COEF[40])
-            text, h = np.concatenate([text, short]), np.concatenate([h, s])
+            text, h = np.concatenate([text, short]), np.concatenate([h, self._short(self.word, short, k)])
+            other = np.concatenate([other, self._short(self.other, short, k)]) if other is not None else None
         order = np.lexsort((h, text))
         text, h = text[order], h[order]
-        if len(h):
-            new = np.ones(len(h), bool)
-            new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
-            text, h = text[new], h[new]
-        return text, h
+        new = np.ones(len(h), bool)
+        new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+        return text[new], h[new], other[order][new] if other is not None else None
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +148,7 @@ def spans(offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def slices(col: pa.Array, lower: bool) -> Iterator[Slice]:
+def slices(col: pa.Array, lower: bool, secret: int, lanes: int = 1) -> Iterator[Slice]:
     offs, data = buffers(col)
     table = _LOWER if lower else _BYTE
     for lo, hi in spans(offs):
@@ -130,7 +157,8 @@ def slices(col: pa.Array, lower: bool) -> Iterator[Slice]:
         n = len(d)
         if not n:
             none = np.zeros(0, np.int64)
-            yield Slice(lo, hi, np.zeros(0, np.uint64), none, none, np.zeros(hi - lo + 1, np.int64), d)
+            empty = np.zeros(0, np.uint64)
+            yield Slice(lo, hi, empty, none, none, np.zeros(hi - lo + 1, np.int64), d, empty if lanes > 1 else None)
             continue
         ink = ~_WS[d]
         edge = np.ones(n + 1, bool)
@@ -142,8 +170,9 @@ def slices(col: pa.Array, lower: bool) -> Iterator[Slice]:
         at = o[1:] - 1
         stop[at[at >= 0]] = True
         end = np.flatnonzero(ink & stop) + 1
-        p, inverse = _power(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[d] * p[:n], out=total[1:])
-        h = (total[end] - total[begin]) * inverse[begin]
-        yield Slice(lo, hi, mix(h + (end - begin).astype(np.uint64) * _COEF[41]), begin, end, np.searchsorted(begin, o), d)
+        since = np.zeros(n, np.int64)
+        since[begin] = begin
+        place = (np.arange(n) - np.maximum.accumulate(since)) & (BLOCK - 1)
+        value = table[d]
+        lane = [_fingerprints(value, place, begin, end, secret, i) for i in range(lanes)]
+        yield Slice(lo, hi, lane[0], begin, end, np.searchsorted(begin, o), d, lane[1] if lanes > 1 else None)

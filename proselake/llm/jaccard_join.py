@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._components import components
 from ._exchange import BLOCK, BLOCK_DDL, Packer, distinct_pairs, shared_counts
 from ._store import keyed_text, materialise, partitions, table
-from ._words import _COEF, mix, slices
+from ._words import _COEF, mix, new_secret, slices
 
 SAMPLE_SHARE = 0.35
 BLOCK_SHINGLES = 1 << 18  # of a component's size band; beyond it, the band is dealt to several blocks
@@ -51,25 +51,25 @@ def _wide(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SCAN)
 
 
-def _scan(k: int, buckets: int):
+def _scan(k: int, buckets: int, secret: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, later_only=False, counts=True)
         for batch in batches:
             ids, valid = _ids(batch)
-            for s in slices(batch["text"], lower=True):
+            for s in slices(batch["text"], lower=True, secret=secret, lanes=2):
                 m = s.hi - s.lo
-                text, h = s.shingles(k)
+                text, h, other = s.shingles(k)
                 n = np.bincount(text, minlength=m)
                 some = np.flatnonzero(n)
                 one, two = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
                 if len(some):
                     at = np.searchsorted(text, some)
                     one[some] = np.add.reduceat(mix(h + _COEF[50]), at)
-                    two[some] = np.bitwise_xor.reduceat(mix(h + _COEF[51]), at)
+                    two[some] = np.add.reduceat(mix(other + _COEF[51]), at)
                 pick = (h >> np.uint64(40)) & np.uint64(0xFFFF) < np.uint64(int(SAMPLE_SHARE * 65536))
                 sampled = np.bincount(text[pick], minlength=m)
                 key = [a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), batch["doc_id"].slice(s.lo, m), pa.array(n), pa.array(sampled), pa.array(key, pa.binary())], schema=SCAN)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.binary())] * 3, batch["doc_id"].slice(s.lo, m), pa.array(n), pa.array(sampled), pa.array(key, pa.binary())], schema=SCAN)
                 pick &= valid[s.lo + text]
                 for b in packer.add(h[pick], ids[s.lo + text[pick]]):
                     yield _wide(b)
@@ -79,11 +79,11 @@ def _scan(k: int, buckets: int):
     return f
 
 
-def _sets(k: int):
+def _sets(k: int, secret: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch["text"], lower=True):
-                text, h = s.shingles(k)
+            for s in slices(batch["text"], lower=True, secret=secret):
+                text, h, _ = s.shingles(k)
                 n = np.bincount(text, minlength=s.hi - s.lo)
                 offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(s.lo, s.hi - s.lo), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["doc_id", "n", "hs"])
@@ -190,8 +190,9 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     docs = keyed_text(docs)
     least = lambda n: F.floor((n * percent + 99) / 100).cast("long")  # noqa: E731  ceil(percent * n / 100)
 
-    scan = materialise(docs.mapInArrow(_scan(k, partitions(spark)), SCAN_DDL), "shingle-scan")
-    shared = shared_counts(scan.filter("bucket is not null").select("bucket", "answer", "hs", "docs"), partitions(spark))
+    secret = new_secret()
+    scan = materialise(docs.mapInArrow(_scan(k, partitions(spark), secret), SCAN_DDL), "shingle-scan")
+    shared = shared_counts(scan.filter("bucket is not null").select(*BLOCK.names), partitions(spark))
     facts = scan.filter("bucket is null").select("doc_id", "n", "sampled", "key")
     classes = facts.filter("n > 0 and doc_id is not null").groupBy("n", "key").agg(F.min("doc_id").alias("rep"))
     facts = facts.join(shared, "doc_id", "left").join(classes, ["n", "key"], "left")
@@ -199,7 +200,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     facts = materialise(facts.select("doc_id", "n", "rep", may.alias("may")), "shingle-facts")
 
     reps = facts.filter("may and doc_id = rep").select("doc_id").distinct()
-    sets = materialise(docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, n long, hs array<long>"), "shingle-sets")
+    sets = materialise(docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets(k, secret), "doc_id long, n long, hs array<long>"), "shingle-sets")
 
     tokens = sets.select("doc_id", "n", F.explode("hs").alias("h"))
     df = tokens.groupBy("h").count().filter("count > 1")

@@ -9,13 +9,12 @@ beside it end its runs, and whether they are left or right words is their own ma
 
 Spark exchanges the round-2 symbols. A window of 13 words that holds a symbol, with the two words
 beside it, that no other document has cannot be a repeat; the windows left are verified by an
-exchange of the fingerprints of the windows themselves. A window that holds no such symbol (periodic
+exchange of two independent keyed fingerprints of the windows themselves (128 bits). A window that holds no such symbol (periodic
 text, for one) is verified too, so nothing is lost.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import BLOCK_DDL, Packer, member, replies
 from ._store import keyed_text, partitions, table
-from ._words import _COEF, Slice, mix, slices
+from ._words import _COEF, Slice, mix, new_secret, slices
 
 OUT_DDL = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,count:long>>"
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("count", pa.int64())]))
@@ -83,12 +82,13 @@ def dedup_substrings(docs: DataFrame, window: int = 13, buckets: int | None = No
     docs = keyed_text(docs)
     named = docs.filter("doc_id is not null")
     buckets = buckets or partitions(docs.sparkSession)
+    secret = new_secret()
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, later_only=False)
         for batch in batches:
             ids = _ids(batch)
-            for s in slices(batch["text"], lower=False):
+            for s in slices(batch["text"], lower=False, secret=secret):
                 name, _, _, text = symbols(s, window)
                 yield from packer.add(name, ids[s.lo + text])
         yield from packer.flush()
@@ -98,7 +98,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, buckets: int | None = No
         for batch in batches:
             ids = _ids(batch)
             told = batch["told"].to_pylist()
-            for s in slices(batch["text"], lower=False):
+            for s in slices(batch["text"], lower=False, secret=secret, lanes=2):
                 name, begin, end, text = symbols(s, window)
                 alone = ~member(text, name, told[s.lo : s.hi])
                 begin, end, first = begin[alone], end[alone], s.first[text[alone]]
@@ -107,13 +107,13 @@ def dedup_substrings(docs: DataFrame, window: int = 13, buckets: int | None = No
                 np.add.at(out, np.maximum(end + 1 - window, first), 1)
                 np.add.at(out, begin, -1)
                 at = np.flatnonzero(whole & (np.cumsum(out)[: len(h)] == 0))
-                yield from packer.add(h[at], ids[s.lo + s.text_of[at]])
+                yield from packer.add(h[at], ids[s.lo + s.text_of[at]], s.ngrams(window, s.other)[0][at])
         yield from packer.flush()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = batch["told"].to_pylist()
-            for s in slices(batch["text"], lower=False):
+            for s in slices(batch["text"], lower=False, secret=secret):
                 gone = np.zeros(len(s.word), bool)
                 if any(told[s.lo : s.hi]):
                     h, whole = s.ngrams(window)

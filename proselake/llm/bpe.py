@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import codecs
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ._store import keyed_text, table
 
-CACHE = 300_000
+CACHE = 60_000
+#: A text is taken in pieces of about so many characters.
+PIECE = 1 << 15
 #: Fixed by the tokenizer's format: how byte-level BPE cuts words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -155,7 +158,7 @@ class ByteBpe:
         for m in self.pattern.finditer(text):
             yield from self.word(m[0])
 
-    def plain(self, text: str) -> Iterable[int]:
+    def split(self, text: str) -> Iterable[int]:
         first, *rest = text.split(" ")
         try:
             if first and first[-1].isspace():
@@ -164,21 +167,39 @@ class ByteBpe:
         except _Unsplittable:
             return self.words(text)
 
+    def plain(self, text: str) -> Iterator[int]:
+        """Ids piece by piece; a piece ends before a blank between two other characters, where a new word starts."""
+        at = 0
+        while len(text) - at > PIECE:
+            cut = text.rfind(" ", at + 1, at + PIECE)
+            while cut > at and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+                cut = text.rfind(" ", at + 1, cut)
+            if cut <= at:  # one long word, or blanks only: word by word
+                break
+            yield from self.split(text[at:cut])
+            at = cut
+        yield from self.split(text[at:]) if len(text) - at <= PIECE else self.words(text[at:])
+
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a text; null is empty. Strings of special tokens in it become these tokens."""
+        out = array("i")
         if not text:
             return np.zeros(0, np.int32)
         if not any(t in text for t in self.special):
-            return np.fromiter(self.plain(text), np.int32)
-        out, at = [], 0
+            out.extend(self.plain(text))
+            return np.frombuffer(out, np.int32)
+        at = 0
         for m in self.special_pattern.finditer(text):
-            if m.start() > at:
-                out += self.plain(text[at : m.start()])
+            out.extend(self.plain(text[at : m.start()]))
             out.append(self.special[m[0]])
             at = m.end()
-        if at < len(text):
-            out += self.plain(text[at:])
-        return np.array(out, np.int32)
+        out.extend(self.plain(text[at:]))
+        return np.frombuffer(out, np.int32)
+
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds the tables of the tokenizer only."""
+        self.cache.clear()
+        self.pieces.clear()
 
     def decode(self, ids: np.ndarray, block: int = 1 << 16) -> str:
         """The text of ids, read block by block; bytes that are not UTF-8 become U+FFFD."""
@@ -198,26 +219,28 @@ def load(path: str) -> ByteBpe:
     return _loaded[path]
 
 
-def _encoder(path: str):
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array<int>) of every whole text; null and empty texts have no ids.
+
+    With `decoded`, also the text that the ids decode to, from the same pass. docs: doc_id long, text
+    string; other columns are ignored, and every row stays, whatever its id and however often it occurs.
+    """
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [coder.encode(t) for t in part["text"].to_pylist()]
+                ids = [coder.encode(t.as_py()) for t in part["text"]]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
-
-    return f
-
+                cols = {"doc_id": part["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))}
+                if decoded:
+                    cols["decoded"] = pa.array(map(coder.decode, ids), pa.string())
+                yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
+        coder.forget()
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every whole text; null and empty texts have no ids.
-
-    docs: doc_id long, text string; other columns are ignored, and every row stays, whatever its id.
-    """
-    return keyed_text(docs).mapInArrow(_encoder(path), "doc_id long, ids array<int>")
+    return keyed_text(docs).mapInArrow(f, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
@@ -240,8 +263,6 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = encode(table(spark, sf_dir, "documents"), path)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    out = decode(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), path)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    ids_digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -44,10 +44,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, with a digest of the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(docs, path).withColumn("kept_ids", F.col("ids"))
-    out = bpe.decode(coded, path)
-    return out.select("doc_id", F.col("kept_ids").alias("ids"), F.size("kept_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("text_sha256"))
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("text_sha256"))
 
 
 STAGES = [

@@ -5,7 +5,9 @@ similarity of t needs an overlap of t/(1+t)*(x+y), so at most x - ceil(t*x) of a
 may be missing in its partner.
 
 1. A fixed share of all shingles (chosen by fingerprint) is exchanged; a document with too many
-   sampled shingles that no other document has cannot link and is settled.
+   sampled shingles that no other document has cannot link and is settled. The sets of the others
+   are made where the texts are read: a Bloom filter of bounded size tells which texts these are, so
+   texts are not exchanged; a semi join of the sets takes the filter's errors back.
 2. Of the rest, shingles are ordered by document frequency, rarest first. A document's prefix is its
    first x - ceil(t*x) + 1 shingles; two linked documents share one. Documents with identical prefix
    and size form a group.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._exchange import BLOCK, BLOCK_DDL, Packer, distinct_pairs, shared_counts
+from ._sketch import BloomFilter
 from ._store import keyed_text, materialise, partitions, table
 from ._words import _COEF, mix, new_secret, slices
 
@@ -79,9 +82,10 @@ def _scan(k: int, buckets: int, secret: int):
     return f
 
 
-def _sets(k: int, secret: int):
+def _sets(k: int, secret: int, maybe: BloomFilter):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(maybe.holds(*_ids(batch))))
             for s in slices(batch["text"], lower=True, secret=secret):
                 text, h, _ = s.shingles(k)
                 n = np.bincount(text, minlength=s.hi - s.lo)
@@ -200,7 +204,11 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     facts = materialise(facts.select("doc_id", "n", "rep", may.alias("may")), "shingle-facts")
 
     reps = facts.filter("may and doc_id = rep").select("doc_id").distinct()
-    sets = materialise(docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets(k, secret), "doc_id long, n long, hs array<long>"), "shingle-sets")
+    maybe = BloomFilter.of(reps, "doc_id")
+    if maybe.full:  # the filter would let most texts pass, and texts are smaller than sets
+        docs = docs.join(reps, "doc_id", "left_semi")
+    sets = docs.mapInArrow(_sets(k, secret, maybe), "doc_id long, n long, hs array<long>")
+    sets = materialise(sets.join(reps, "doc_id", "left_semi"), "shingle-sets")
 
     tokens = sets.select("doc_id", "n", F.explode("hs").alias("h"))
     df = tokens.groupBy("h").count().filter("count > 1")

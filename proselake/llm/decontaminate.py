@@ -1,20 +1,23 @@
 """Benchmark decontamination: which documents hold which test items.
 
-An exact join: each shingle of the documents meets the items' shingles, and an item is found where
-at least ceil(t*n) of its n shingles meet. No sketch is searched first. All work is done by
-DataFrame functions in one pass over the documents.
+Size-partitioned MinHash containment search. An item of n shingles counts as held by a document that
+has need = ceil(t*n) of them; then any n - need + 1 of its shingles include one of the document's. So
+each item gets a sketch, its smallest hash values, whose length is fixed for its size class (sizes of
+one power of two) by the class's largest size. Only sketches meet the shingles of the documents. What
+they find are candidates, and these are verified by the exact containment of all shingles. All work
+is done by DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import keyed_text, table
+from ._store import keyed_text, materialise, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Item shingles up to this number are broadcast (about 20 MB); beyond, the join is shuffled.
+#: Item shingles, and ids of candidates, up to this number are broadcast (about 20 MB); beyond, the join is shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -29,6 +32,31 @@ def shingle_array(text, k: int):
     return F.get(F.transform(F.array(names), windows), F.lit(0))  # binds the words once
 
 
+def item_shingles(items: DataFrame, k: int, percent: int) -> DataFrame:
+    """(item_id, h, n_item, need), one row per distinct shingle of an item."""
+    own = items.filter("item_id is not null").select("item_id", F.explode(shingle_array(F.col("text"), k)).alias("h")).distinct()
+    sized = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
+    return own.join(sized, "item_id").withColumn("need", F.floor((F.col("n_item") * percent + 99) / 100))
+
+
+def sketches(own: DataFrame, percent: int) -> DataFrame:
+    """(h, item_id): the smallest hash values of each item, as many as its size class needs."""
+    top = F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1
+    length = top - F.floor((top * percent + 99) / 100) + 1
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("h", F.lit("sketch")), "h"))
+    return own.withColumn("rank", rank).filter(F.col("rank") <= length).select("h", "item_id")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, k: int) -> DataFrame:
+    """(doc_id, item_id) of documents that have a shingle of an item's sketch."""
+    said = docs.select("doc_id", F.explode(shingle_array(F.col("text"), k)).alias("h"))
+    return said.join(_small(sketch), "h").select("doc_id", "item_id").distinct()
+
+
 def find_contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds at least `percent` of the item's distinct k-word shingles.
 
@@ -36,18 +64,16 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
     at blanks after lower-casing A-Z. A text of fewer than k words is one shingle, its whole
     sequence: such an item is found only in documents that are that sequence. Null or empty texts
     hold nothing and are found nowhere. docs: doc_id, text; items: item_id, text; other columns are
-    ignored. Rows that repeat a doc_id or item_id count as one text with the shingles of all; rows
-    with a null id are left out. Empty tables give no pairs.
+    ignored. Rows that repeat a doc_id or item_id count as one text with the shingles of all (so no
+    document is passed over for the size of one of its rows); rows with a null id are left out.
+    Empty tables give no pairs. Shingles are compared by 64-bit fingerprints.
     """
-    own = items.filter("item_id is not null").select("item_id", F.explode(shingle_array(F.col("text"), k)).alias("h")).distinct()
-    sized = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    sized = sized.withColumn("need", F.floor((F.col("n_item") * percent + 99) / 100))
-    entries = own.join(sized, "item_id").select("h", "item_id", "n_item", "need")
-    if entries.count() <= BROADCAST_ROWS:
-        entries = F.broadcast(entries)
-    said = keyed_text(docs).filter("doc_id is not null").select("doc_id", shingle_array(F.col("text"), k).alias("hs"))
-    said = said.select("doc_id", F.explode("hs").alias("h"))
-    met = said.join(entries, "h").select("doc_id", "item_id", "n_item", "need", "h").distinct()
+    docs = keyed_text(docs).filter("doc_id is not null")
+    own = materialise(item_shingles(items, k, percent), "item-shingles")
+    found = materialise(candidates(docs, sketches(own, percent), k), "leak-candidates")
+    held = docs.join(_small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    said = held.select("doc_id", F.explode(shingle_array(F.col("text"), k)).alias("h"))
+    met = said.join(_small(own), "h").join(_small(found), ["doc_id", "item_id"], "left_semi").distinct()
     pairs = met.groupBy("doc_id", "item_id", "n_item", "need").agg(F.count(F.lit(1)).alias("n_common"))
     return pairs.filter("n_common >= need").select("doc_id", "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
 

@@ -50,19 +50,18 @@ def _visit(part: Column) -> Column:
     return F.struct(out.alias("out"), kind.alias("kind"), part["ref"].alias("ref"), tokens.cast("long").alias("tokens"))
 
 
-def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
+def format_chat(turns: DataFrame, loss_role: str = "assistant", parts: str | None = None) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans, attachments, attachment_tokens.
 
-    turns: conv_id, turn, role and `parts` (PART_DDL) or, without such a column, `text`. Other columns
-    are ignored. Turns stand in order of turn, then role, then content, nulls first; repeated rows all
-    stay. A null role or text is empty, null parts are none, a part of an unknown kind is text; a null
-    conv_id is a conversation of its own. loss_spans are (first, end) in code points over the bodies
+    turns: conv_id, turn, role and the column named by `parts` (PART_DDL) or, without that name, `text`.
+    Other columns are ignored. Turns stand in order of turn, then role, then content, nulls first;
+    repeated rows all stay. A null role or text is empty, null parts are none, a part of an unknown kind
+    is text; all rows with a null conv_id are one conversation, with a null conv_id. loss_spans are (first, end) in code points over the bodies
     of `loss_role`. An empty table gives an empty table. A conversation is one string, so its turns
     meet in one task by nature; nothing else does.
     """
-    if "parts" not in turns.columns:
-        turns = turns.withColumn("parts", F.array(F.struct(F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))))
-    seen = F.transform(F.coalesce("parts", F.array().cast(PART_DDL)), _visit)
+    plain = F.array(F.struct(F.lit("text").alias("kind"), F.col("text") if not parts else F.lit(""), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
+    seen = F.transform(F.coalesce(F.col(parts), F.array().cast(PART_DDL)) if parts else plain, _visit)
     role = F.coalesce("role", F.lit(""))
     turns = turns.select("conv_id", "turn", role.alias("role"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), seen.alias("seen"))
     turns = turns.withColumn("body", F.array_join(F.transform("seen", lambda p: p["out"]), ""))

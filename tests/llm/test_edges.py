@@ -119,7 +119,7 @@ def test_chat(spark):
 
 def test_chat_parts(spark):
     turns = spark.sql("SELECT 1L conv_id, 0L turn, 'user' role, array(named_struct('kind', 'text', 'text', 'see ', 'ref', CAST(NULL AS STRING), 'units', CAST(NULL AS INT)), named_struct('kind', 'image', 'text', CAST(NULL AS STRING), 'ref', 'a.png', 'units', 9)) parts")
-    r = chat_format.format_chat(turns).first()
+    r = chat_format.format_chat(turns, parts="parts").first()
     assert r.formatted == "<|im_start|>user\nsee <|image|><|im_end|>\n"
     assert [tuple(a) for a in r.attachments] == [(1, "image", "a.png", 11)] and r.attachment_tokens == 11
 

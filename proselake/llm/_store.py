@@ -10,15 +10,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where that is unset (tests) a local one."""
+    """The session's `spark.checkpoint.dir`. Where it is unset, a local session (tests) gets a folder of its own; a cluster gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="proselake-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session. DataFrames that still read them cannot be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    """One folder per session, so that the tables of a run go together."""
+    return f"{shared_dir(spark)}/proselake/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once as a table in the shared folder and read it back.
 
@@ -26,7 +39,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     and non-deterministic columns (partition ids) are fixed from here on.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proselake/{tag}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

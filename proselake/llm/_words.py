@@ -160,19 +160,42 @@ def slices(col: pa.Array, lower: bool, secret: int, lanes: int = 1) -> Iterator[
             empty = np.zeros(0, np.uint64)
             yield Slice(lo, hi, empty, none, none, np.zeros(hi - lo + 1, np.int64), d, empty if lanes > 1 else None)
             continue
-        ink = ~_WS[d]
-        edge = np.ones(n + 1, bool)
-        edge[1:n] = ~ink[:-1]
-        edge[o[o < n]] = True
-        begin = np.flatnonzero(ink & edge[:n])
-        stop = np.ones(n, bool)
-        stop[: n - 1] = ~ink[1:]
-        at = o[1:] - 1
-        stop[at[at >= 0]] = True
-        end = np.flatnonzero(ink & stop) + 1
-        since = np.zeros(n, np.int64)
-        since[begin] = begin
-        place = (np.arange(n) - np.maximum.accumulate(since)) & (BLOCK - 1)
-        value = table[d]
-        lane = [_fingerprints(value, place, begin, end, secret, i) for i in range(lanes)]
+        begin, end, lane = _words_of(d, o, table, secret, lanes)
         yield Slice(lo, hi, lane[0], begin, end, np.searchsorted(begin, o), d, lane[1] if lanes > 1 else None)
+
+
+def _words_of(d: np.ndarray, o: np.ndarray, table: np.ndarray, secret: int, lanes: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Byte spans and fingerprints of the words of texts that start at o. A text of many slices is taken in pieces that end at a blank."""
+    begins, ends, found, at = [], [], [], 0
+    while at < len(d):
+        to = len(d)
+        if to - at > 2 * SLICE:
+            to = at + SLICE
+            while to < len(d) and not (blank := _WS[d[to : to + SLICE]]).any():
+                to += SLICE
+            to = min(len(d), to + int(blank.argmax())) if to < len(d) else len(d)
+        begin, end, lane = _piece(d[at:to], o[(o >= at) & (o <= to)] - at, table, secret, lanes)
+        begins.append(begin + at)
+        ends.append(end + at)
+        found.append(lane)
+        at = to
+    return np.concatenate(begins), np.concatenate(ends), [np.concatenate([x[i] for x in found]) for i in range(lanes)]
+
+
+def _piece(d: np.ndarray, o: np.ndarray, table: np.ndarray, secret: int, lanes: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    n = len(d)
+    ink = ~_WS[d]
+    edge = np.ones(n + 1, bool)
+    edge[1:n] = ~ink[:-1]
+    edge[o[o < n]] = True
+    begin = np.flatnonzero(ink & edge[:n])
+    stop = np.ones(n, bool)
+    stop[: n - 1] = ~ink[1:]
+    last = o - 1
+    stop[last[last >= 0]] = True
+    end = np.flatnonzero(ink & stop) + 1
+    since = np.zeros(n, np.int64)
+    since[begin] = begin
+    place = (np.arange(n) - np.maximum.accumulate(since)) & (BLOCK - 1)
+    value = table[d]
+    return begin, end, [_fingerprints(value, place, begin, end, secret, i) for i in range(lanes)]

@@ -28,6 +28,7 @@ FEATURES = 1 << BITS
 ROWS_PER_LANGUAGE = 1500
 #: A training row counts by its n-gram rates times at most so many n-grams.
 LENGTH_CAP = 3000
+BLOCK = 1 << 20  # bytes that are counted at once
 SMOOTHING = 1e-5
 AMBIGUOUS = 0.4
 
@@ -35,10 +36,25 @@ _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 
 
+def _long(data: np.ndarray) -> np.ndarray:
+    """The row of one long text, block by block; each block sees the two bytes before it."""
+    out = np.zeros((1, FEATURES), np.float32)
+    for at in range(0, len(data), BLOCK):
+        lead = min(at, 2)
+        x = _FOLD[data[at - lead : at + BLOCK]]
+        grams = [x[lead:], (x[1:] | (x[:-1] << np.uint32(8)) | np.uint32(1 << 24))[max(lead - 1, 0) :], x[2:] | (x[1:-1] << np.uint32(8)) | (x[:-2] << np.uint32(16)) | np.uint32(1 << 25)]
+        h = (np.concatenate(grams) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+        out[0] += np.bincount(h, minlength=FEATURES)
+    return out
+
+
 def counts(texts: pa.Array) -> Iterator[np.ndarray]:
     """Rows of n-gram counts (1 to 3 bytes, letters only, lower case), some texts at a time, in order."""
     offs, data = buffers(pc.utf8_lower(pc.fill_null(texts, "")))
-    for lo, hi in spans(offs, 1 << 20):
+    for lo, hi in spans(offs, BLOCK):
+        if offs[hi] - offs[lo] > 2 * BLOCK:  # one long text
+            yield _long(data[offs[lo] : offs[hi]])
+            continue
         for at in range(lo, hi, 64):
             top = min(at + 64, hi)
             a, b = int(offs[at]), int(offs[top])

@@ -2,10 +2,10 @@
 
 Groups are sorted by size, largest first, and each enters the bin with the least remaining capacity
 that still takes it, found in a balanced tree. Groups of one size are alike, so the packing works on
-the table of sizes (size, number of groups): sizes below 2**PRECISION are exact, larger ones are
-rounded up to PRECISION significant bits, which bounds the table at about 2**PRECISION rows an
-octave whatever the number of groups. A run of equal groups enters a bin at once, so the plan is a
-short list of intervals of ranks. The groups get their ranks by a distributed sort.
+the table of distinct sizes (size, number of groups): with B bytes in all there are at most sqrt(2 B)
+of them, whatever the number of groups. A run of equal groups enters a bin at once, so the plan is a
+short list of intervals of ranks. The groups get their ranks by a distributed sort. Where even that
+table is too long for the driver, `precision` rounds sizes up to so many significant bits.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from ._store import global_rank, materialise, table
 
-PRECISION = 12
-
 
 class Treap:
     """A balanced search tree of distinct keys with successor search."""
@@ -124,12 +122,15 @@ def pack_evenly(sizes: list[tuple[int, int]], bins: int) -> list[tuple[int, int]
     return plan + [(n, bins - free + b) for n, b in best_fit_decreasing(sizes, high, free)]
 
 
-_SHIFT = f"greatest(cast(floor(log2(greatest(bytes, 1))) as int) - {PRECISION}, 0)"
-#: `bytes` rounded up to PRECISION significant bits
-CLASS = f"shiftleft(shiftright(bytes + shiftleft(1L, {_SHIFT}) - 1, {_SHIFT}), {_SHIFT})"
+def size_class(precision: int | None) -> str:
+    """SQL of the size that a group is packed by: its bytes, or these rounded up to so many significant bits."""
+    if precision is None:
+        return "bytes"
+    shift = f"greatest(cast(floor(log2(greatest(bytes, 1))) as int) - {precision}, 0)"
+    return f"shiftleft(shiftright(bytes + shiftleft(1L, {shift}) - 1, {shift}), {shift})"
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, precision: int | None = None) -> DataFrame:
     """Put all rows into `shards` shards of nearly equal bytes; rows with equal texts stay together.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1; null counts as no bytes), text_crc32, shard
@@ -141,9 +142,10 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     rows = materialise(rows, "sized")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    groups = groups.withColumn("class", F.expr(CLASS))
+    groups = groups.withColumn("class", F.expr(size_class(precision)))
     groups = global_rank(groups, [F.desc("class"), F.asc("digest")], "rank", "ranked-groups")
-    classes = [(r["class"], r["count"]) for r in groups.groupBy("class").count().orderBy(F.desc("class")).collect()]  # bounded: see above
+    sizes = groups.groupBy("class").count().orderBy(F.desc("class")).toArrow()  # bounded: see above
+    classes = list(zip(sizes["class"].to_pylist(), sizes["count"].to_pylist(), strict=True))
     plan = pack_evenly(classes, shards) if classes else []
     ends, into = np.cumsum([n for n, _ in plan]), np.array([b for _, b in plan], np.int32)
 

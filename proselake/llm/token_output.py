@@ -7,8 +7,9 @@ the training order needs no sort by random keys and can be computed from (rank,
 holds a range of slots; a sequence lies at byte (slot - first slot) * stride of its shard's payload,
 so a reader can start at any slot.
 
-A sequence's rank is its position in the coded table, which is written once: its part, then its place
-in the part. Only one count per part travels to the driver.
+A sequence's rank is its place in the input in order of file and row, so it does not depend on how
+files are split over tasks. Each task counts the sequences of the stretches of rows that it reads;
+only one count per stretch travels to the driver. Range partitions then hold consecutive shards.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import runs
-from ._store import keyed_text, materialise, table
+from ._store import keyed_text, materialise, partitions, table
 from ._words import mix
 
 SEQUENCE = 256
@@ -64,45 +65,62 @@ def rank_codec(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
     return make
 
 
-def write_shards(docs: DataFrame, codec: Callable, end: int, key: int, length: int = SEQUENCE, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and where the row stands: file and row. What is not read from files is written first."""
+    try:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return _placed(materialise(keyed_text(docs), "sequence-input"))
+
+
+def write_shards(docs: DataFrame, codec: Callable, end: int, key: int, length: int = SEQUENCE, slots_per_shard: int = SLOTS_PER_SHARD, done: DataFrame | None = None) -> DataFrame:
     """Write all sequences of all documents; returns the table of shards, one row each, read back from the shared folder.
 
     codec() makes a function from text to uint16 ids; end is the id that closes and fills up. Null and
     empty texts are one sequence of end tokens. docs: doc_id long, text string; other columns are
     ignored; repeated rows are written repeatedly; a null doc_id is written as -2**63. An empty table
-    gives no shards.
+    gives no shards. Shards that `done` (a table of shards of the same docs, key and sizes) already
+    holds are not written again but returned with the others, so a broken run can be taken up.
     """
     no_id = -(2**63)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = codec(), TaskContext.get().partitionId(), 0
+        coder, file, first, before, at = codec(), None, 0, -1, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
                 ids = [np.append(coder(t or ""), np.uint16(end)) for t in b["text"].to_pylist()]
-                n = np.array([-(-len(x) // length) for x in ids], np.int64)
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([b["doc_id"].fill_null(no_id), pa.array([part] * len(n), pa.int32()), pa.array(start), pa.array(n), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], names=["doc_id", "part", "start", "n", "ids"])
-
-    coded = materialise(keyed_text(docs).mapInArrow(code, "doc_id long, part int, start long, n long, ids binary"), "coded")
-    sizes = coded.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("n")).orderBy("part").collect()  # one row per part
+                n = [-(-len(x) // length) for x in ids]
+                files, firsts, starts = [], [], []
+                for f, row, k in zip(b["file"].to_pylist(), b["row"].to_pylist(), n, strict=True):
+                    if f != file or row < before:  # a new stretch of rows
+                        file, first, at = f, row, 0
+                    files.append(file)
+                    firsts.append(first)
+                    starts.append(at)
+                    before, at = row, at + k
+                yield pa.RecordBatch.from_arrays([b["doc_id"].fill_null(no_id), pa.array(files), pa.array(firsts), pa.array(starts), pa.array(n, pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], names=["doc_id", "file", "first", "start", "n", "ids"])
+
+    coded = materialise(_placed(docs).mapInArrow(code, "doc_id long, file string, first long, start long, n long, ids binary"), "coded")
+    sizes = coded.groupBy("file", "first").agg(F.max(F.col("start") + F.col("n")).alias("n")).orderBy("file", "first").collect()  # one row per stretch, at most a few a task
     offsets, total = {}, 0
     for row in sizes:
-        offsets[row["part"]] = total
+        offsets[row["file"], row["first"]] = total
         total += row["n"]
+    written = {r["shard"] for r in done.select("shard").collect()} if done is not None else set()  # one number per shard
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            docs_, parts, starts, ns = (batch[c].to_numpy() for c in ("doc_id", "part", "start", "n"))
+            docs_, firsts, starts, ns = (batch[c].to_numpy() for c in ("doc_id", "first", "start", "n"))
+            files = batch["file"].to_pylist()
             for i, blob in enumerate(batch["ids"].to_pylist()):
                 n, ids = int(ns[i]), np.frombuffer(blob, "<u2")
                 block = np.full(n * length, end, "<u2")
                 block[: len(ids)] = ids
                 fill = np.full(n, length, np.int32)
                 fill[-1] = len(ids) - (n - 1) * length
-                held.append((offsets[int(parts[i])] + starts[i] + np.arange(n), np.full(n, docs_[i]), np.arange(n), fill, block.reshape(n, length)))
+                held.append((offsets[files[i], int(firsts[i])] + starts[i] + np.arange(n), np.full(n, docs_[i]), np.arange(n), fill, block.reshape(n, length)))
                 size += block.nbytes
                 if size >= FLUSH_BYTES:
                     yield flush(held)
@@ -114,6 +132,8 @@ def write_shards(docs: DataFrame, codec: Callable, end: int, key: int, length: i
         rank, doc, seq, fill, block = (np.concatenate(x) for x in zip(*held, strict=True))
         slot = slots_of(rank, total, key)
         order = np.argsort(slot)
+        if written:
+            order = order[~np.isin(slot[order] // slots_per_shard, list(written))]
         slot, doc, seq, fill, block = slot[order], doc[order], seq[order], fill[order], block[order]
         to = slot // slots_per_shard
         at, size = runs(to)
@@ -121,7 +141,19 @@ def write_shards(docs: DataFrame, codec: Callable, end: int, key: int, length: i
         pack = lambda x: pa.array([pa.compress(np.ascontiguousarray(x[c]).tobytes(), codec="zstd", asbytes=True) for c in cut], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(to[at]), pa.array(size), pack(slot.astype("<i8")), pack(doc.astype("<i8")), pack(seq.astype("<i4")), pack(fill.astype("<i4")), pack(block)], names=["shard", "n", "slots", "docs", "seqs", "fills", "block"])
 
-    def assemble(t: pa.Table) -> pa.Table:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # in order of the shard
+            at, size = runs(batch["shard"].to_numpy())
+            for a, n in zip(at.tolist(), size.tolist(), strict=True):
+                if held and held[0]["shard"][0] != batch["shard"][a]:
+                    yield record(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, n))
+        if held:
+            yield record(pa.Table.from_batches(held))
+
+    def record(t: pa.Table) -> pa.RecordBatch:
         n = t["n"].to_numpy()
         open_ = lambda c, kind, width=1: np.concatenate([np.frombuffer(pa.decompress(b, int(k) * width * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) for b, k in zip(t[c].to_pylist(), n, strict=True)])
         slot = open_("slots", "<i8")
@@ -129,10 +161,15 @@ def write_shards(docs: DataFrame, codec: Callable, end: int, key: int, length: i
         block = open_("block", "<u2", length).reshape(-1, length)[order]
         shard = t["shard"][0].as_py()
         cols = [open_(c, k)[order].tobytes() for c, k in (("docs", "<i8"), ("seqs", "<i4"), ("fills", "<i4"))]
-        return pa.table({"shard": pa.array([shard]), "first_slot": pa.array([shard * slots_per_shard]), "n_slots": pa.array([len(slot)]), "stride": pa.array([2 * length], pa.int32()), "payload": [block.tobytes()], "doc_ids": [cols[0]], "seqs": [cols[1]], "n_tokens": [cols[2]]})
+        row = [pa.array([shard]), pa.array([shard * slots_per_shard]), pa.array([len(slot)]), pa.array([2 * length], pa.int32()), *(pa.array([x], pa.binary()) for x in (block.tobytes(), *cols))]
+        return pa.RecordBatch.from_arrays(row, names=["shard", "first_slot", "n_slots", "stride", "payload", "doc_ids", "seqs", "n_tokens"])
 
     dealt = coded.mapInArrow(deal, "shard long, n long, slots binary, docs binary, seqs binary, fills binary, block binary")
-    return materialise(dealt.groupBy("shard").applyInArrow(assemble, SHARD_DDL), "shards")
+    shards = max(1, -(-total // slots_per_shard))
+    ranges = min(shards, partitions(docs.sparkSession))
+    dealt = dealt.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)")).sortWithinPartitions("shard")
+    new = materialise(dealt.mapInArrow(assemble, SHARD_DDL), "shards")
+    return new if done is None else done.select(*new.columns).unionByName(new)
 
 
 def read_slots(shards: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._store import keyed_text, table
 
-CACHE = 60_000
+CACHE = 300_000
 #: A text is taken in pieces of about so many characters.
 PIECE = 1 << 15
 #: Fixed by the tokenizer's format: how byte-level BPE cuts words.
@@ -197,8 +197,7 @@ class ByteBpe:
         return np.frombuffer(out, np.int32)
 
     def forget(self) -> None:
-        """Empty the caches, so that an idle worker holds the tables of the tokenizer only."""
-        self.cache.clear()
+        """Empty the larger cache, so that an idle worker holds little but the tables of the tokenizer; words stay."""
         self.pieces.clear()
 
     def decode(self, ids: np.ndarray, block: int = 1 << 16) -> str:

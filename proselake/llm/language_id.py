@@ -29,6 +29,7 @@ ROWS_PER_LANGUAGE = 1500
 #: A training row counts by its n-gram rates times at most so many n-grams.
 LENGTH_CAP = 3000
 BLOCK = 1 << 20  # bytes that are counted at once
+SCALE = 1 << 16
 SMOOTHING = 1e-5
 AMBIGUOUS = 0.4
 
@@ -139,18 +140,25 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     index = {name: i for i, name in enumerate(languages)}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), FEATURES))
+        total = np.zeros((len(languages), FEATURES), np.int64)  # whole numbers, so that the order of adding does not matter
         for b in batches:
             lang, at = [index[x] for x in b["lang"].to_pylist()], 0
             for x in counts(b["text"]):
                 n = x.sum(1, keepdims=True)
-                x = x / np.maximum(n, 1) * np.minimum(n, LENGTH_CAP)
+                x = np.rint(x / np.maximum(n, 1) * np.minimum(n, LENGTH_CAP) * SCALE).astype(np.int64)
                 np.add.at(total, lang[at : at + len(x)], x)
                 at += len(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    got = sample.mapInArrow(sums, "sums binary").collect()  # at most 12 rows of a fixed size
-    total = sum(np.frombuffer(r["sums"], np.float64).reshape(len(languages), FEATURES) for r in got) + 0.0
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(languages) * FEATURES, np.int64)
+        for b in batches:
+            for blob in b["sums"]:
+                total += np.frombuffer(blob.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    got = sample.mapInArrow(sums, "sums binary").repartition(2).mapInArrow(add, "sums binary").collect()  # two rows of a fixed size
+    total = sum(np.frombuffer(r["sums"], np.int64) for r in got).reshape(len(languages), FEATURES) / SCALE
     model = Model(languages, total / np.maximum(total.sum(1, keepdims=True), 1))
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

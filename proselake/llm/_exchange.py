@@ -7,8 +7,8 @@ a third of all documents hold costs one entry a flush, not one a document, and n
 What a task can already answer for the others it answers itself. Answers are blocks too, their
 bucket is `doc_id % buckets`, so that a document's answers come together in one row.
 
-Where a false equality would cost words, entries carry a second, independent fingerprint and are
-equal only if both are.
+Where a false equality would cost words, entries carry 32 bits of a second, independent fingerprint
+and are equal only if both are.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ TOLD_DDL = "doc_id long, told binary"
 TOLD = pa.schema([("doc_id", pa.int64()), ("told", pa.binary())])
 FLUSH = 1 << 20
 SEEN = np.uint64(1 << 63)
+LOW = np.uint64((1 << 32) - 1)
 BODY = np.uint64((1 << 63) - 1)
 
 
@@ -77,7 +78,7 @@ def blocks_of(h: np.ndarray, doc: np.ndarray, buckets: int, answer: bool, other:
     h, doc, bucket = h[order], doc[order], bucket[order]
     start, size = runs(bucket)
     cut = [slice(a, a + n) for a, n in zip(start, size, strict=True)]
-    others = pa.nulls(len(cut), pa.binary()) if other is None else pa.array([other[order][x].tobytes() for x in cut], pa.binary())
+    others = pa.nulls(len(cut), pa.binary()) if other is None else pa.array([other[order][x].astype(np.uint32).tobytes() for x in cut], pa.binary())
     cols = [pa.array(bucket[start]), pa.array([answer] * len(cut), pa.bool_()), pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([pack_docs(doc[x]) for x in cut], pa.binary()), others]
     return pa.RecordBatch.from_arrays(cols, schema=BLOCK)
 
@@ -96,7 +97,7 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack_wide(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, doc = unpack(table)
-    return h, np.concatenate([np.frombuffer(b, np.uint64) for b in table["others"].to_pylist()]), doc
+    return h, np.concatenate([np.frombuffer(b, np.uint32) for b in table["others"].to_pylist()]).astype(np.uint64), doc
 
 
 class Packer:
@@ -120,7 +121,7 @@ class Packer:
         self.h.append(h & BODY if self.counts else h)
         self.doc.append(doc)
         if other is not None:
-            self.other.append(other)
+            self.other.append(other & LOW)
         self.n += len(h)
         if self.n >= FLUSH:
             yield from self.flush()

@@ -27,7 +27,7 @@ BLANKS = r"[\x20\x09-\x0D]"
 SHARD_DDL = "shard int, shards int, seeds binary, digests binary, keep_ids binary, keep_chars binary, sizes binary"
 ENTRY_DDL = "digest binary, keep_id long, group_size long"
 KEYS_PER_BUCKET = 4
-DIGESTS_PER_SHARD = 1 << 14
+DIGESTS_PER_SHARD = 1 << 10
 #: The length that stands for a group whose rows all lack an id; any other row wins.
 NO_ID = -1
 

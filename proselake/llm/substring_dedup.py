@@ -9,7 +9,7 @@ beside it end its runs, and whether they are left or right words is their own ma
 
 Spark exchanges the round-2 symbols. A window of 13 words that holds a symbol, with the two words
 beside it, that no other document has cannot be a repeat; the windows left are verified by an
-exchange of two independent keyed fingerprints of the windows themselves (128 bits). A window that holds no such symbol (periodic
+exchange of two independent keyed fingerprints of the windows themselves (96 bits). A window that holds no such symbol (periodic
 text, for one) is verified too, so nothing is lost.
 """
 

@@ -21,6 +21,19 @@ def sentence_array(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit("\u0002"), F.lit("")))), lambda s: s != "")
 
 
+def placed_sentences(text: Column) -> Column:
+    """Sentences as struct(quote, newlines): newlines is the number of line breaks of the text before the sentence."""
+    marked = F.coalesce(text, F.lit(""))
+    for _ in range(2):
+        marked = F.regexp_replace(marked, r"(^|[^A-Za-z])([A-Za-z])([.?!]+)", "$1$2$3\u0002")
+    parts = F.split(F.regexp_replace(marked, rf"([.?!]+)(?={WS})", "$1\u0001"), "\u0001")
+    breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    lead = lambda s: breaks(F.regexp_extract(s, f"^({WS}*)", 1))
+    before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, s: n + breaks(s))
+    placed = F.transform(parts, lambda s, i: F.struct(strip(F.replace(s, F.lit("\u0002"), F.lit(""))).alias("quote"), (before(i) + lead(s)).cast("int").alias("newlines")))
+    return F.filter(placed, lambda s: s["quote"] != "")
+
+
 def word_array(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import markers
 from proselake.functions.hangul import FIRST, LAST
-from proselake.functions.text import sentence_array, strip, word_array
+from proselake.functions.text import placed_sentences, sentence_array, strip, word_array
 from proselake.sources.markdown import add_sections, parse_markdown
 
 RULES: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]] = {}
@@ -35,13 +35,14 @@ def rule(name: str, severity: str, level: str) -> Callable:
 
 def blocks_with_language(docs: DataFrame) -> DataFrame:
     """Blocks with section_index and, for code, the language of the fence ('' without one)."""
-    b = add_sections(parse_markdown(docs))
+    b = add_sections(parse_markdown(docs, front=True))
     return b.withColumn("language", F.when(F.col("kind") == "code", F.lower(F.regexp_extract("text", r"^ {0,3}(?:```+|~~~+)[ \t]*([^\s]*)", 1))))
 
 
 def prose_sentences(blocks: DataFrame) -> DataFrame:
-    """Sentences of prose blocks: pos counts over the document (block, place in it); the line is that of the block."""
-    s = blocks.filter("kind = 'prose'").select("doc_id", "section_index", "block_index", F.col("start_line").alias("line"), F.posexplode(sentence_array(F.col("text"))).alias("place", "quote"))
+    """Sentences of prose blocks: pos counts over the document (block, place in it), line is where the sentence starts."""
+    s = blocks.filter("kind = 'prose'").select("doc_id", "section_index", "block_index", "start_line", F.posexplode(placed_sentences(F.col("text"))).alias("place", "s"))
+    s = s.select("doc_id", "section_index", "block_index", (F.col("start_line") + F.col("s.newlines")).alias("line"), "place", "s.quote")
     return s.withColumn("pos", F.struct("block_index", "place"))
 
 
@@ -73,8 +74,10 @@ def _headings(blocks: DataFrame) -> DataFrame:
 
 @rule("headingSkip", "error", "blocks")
 def heading_skip(blocks: DataFrame) -> DataFrame:
-    """A heading more than one level below the one before."""
-    return _headings(blocks).withColumn("before", F.lag("level").over(_in_document())).filter("level > before + 1")
+    """A heading more than one level below the one before; a title in the front matter counts as level 1."""
+    titled = F.max((F.col("kind") == "front").cast("int")).over(Window.partitionBy("doc_id"))
+    h = blocks.withColumn("titled", titled).filter("kind = 'heading'").withColumn("quote", _title()).withColumn("line", F.col("start_line"))
+    return h.withColumn("before", F.coalesce(F.lag("level").over(_in_document()), F.when(F.col("titled") == 1, 1))).filter("level > before + 1")
 
 
 @rule("headingSentence", "error", "blocks")
@@ -88,9 +91,9 @@ def heading_sentence(blocks: DataFrame) -> DataFrame:
 def heading_uniform(blocks: DataFrame) -> DataFrame:
     """Three or more level-2 headings in Hangul, three quarters of them with the same last syllable."""
     code = F.ascii(F.right("quote", F.lit(1)))
-    h = _headings(blocks).filter("level = 2").filter(code.between(FIRST, LAST)).groupBy("doc_id", F.right("quote", F.lit(1)).alias("last")).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
-    h = h.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("n").alias("total"), F.min("line").alias("line"), F.max_by("last", "n").alias("quote"))
-    return h.filter("total >= 3 and n * 4 >= total * 3")
+    h = _headings(blocks).filter("level = 2").filter(code.between(FIRST, LAST)).groupBy("doc_id", F.right("quote", F.lit(1)).alias("last")).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("line", "quote")).alias("h"))
+    h = h.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("n").alias("total"), F.sort_array(F.flatten(F.collect_list("h"))).alias("h"))
+    return h.filter("total >= 3 and n * 4 >= total * 3").select("doc_id", F.get("h.line", F.lit(0)).alias("line"), F.array_join("h.quote", ", ").alias("quote"))
 
 
 @rule("sectionNoProse", "error", "blocks")
@@ -101,12 +104,22 @@ def section_no_prose(blocks: DataFrame) -> DataFrame:
     return s.filter("n > 1 and told = 0")
 
 
+@rule("loneSubheading", "notice", "blocks")
+def lone_subheading(blocks: DataFrame) -> DataFrame:
+    """The one level-3 heading below a level-2 heading."""
+    h = _headings(blocks).filter("section_index > 0 and level in (2, 3)")
+    child = F.col("level") == 3
+    s = h.groupBy("doc_id", "section_index").agg(F.sum(child.cast("int")).alias("n"), F.min(F.when(child, F.struct("line", "quote"))).alias("f"))
+    return s.filter("n = 1").select("doc_id", "f.line", "f.quote")
+
+
 @rule("introImage", "error", "blocks")
 def intro_image(blocks: DataFrame, most: int = 1) -> DataFrame:
     """More images before the first section than allowed."""
     image = (F.col("kind") == "image") & (F.col("section_index") == 0)
-    d = blocks.groupBy("doc_id").agg(F.max("section_index").alias("sections"), F.sum(image.cast("int")).alias("n"), F.min(F.when(image, F.col("start_line"))).alias("line"))
-    return d.filter((F.col("sections") > 0) & (F.col("n") > most)).withColumn("quote", F.lit(""))
+    first = F.min(F.when(image, F.struct(F.col("start_line").alias("line"), strip(F.col("text")).alias("quote"))))
+    d = blocks.groupBy("doc_id").agg(F.max("section_index").alias("sections"), F.sum(image.cast("int")).alias("n"), first.alias("f"))
+    return d.filter((F.col("sections") > 0) & (F.col("n") > most)).select("doc_id", "f.line", "f.quote")
 
 
 @rule("introLong", "error", "blocks")
@@ -142,22 +155,24 @@ def dash(blocks: DataFrame) -> DataFrame:
 
 @rule("firstResultDistance", "notice", "blocks")
 def first_result(blocks: DataFrame, most: int = 4) -> DataFrame:
-    """Too many paragraphs before the first code, image or table."""
-    shown = F.min(F.when(F.col("kind").isin("code", "image", "table"), F.struct("block_index", "start_line"))).over(Window.partitionBy("doc_id"))
-    b = blocks.withColumn("first", shown).filter("kind = 'prose' and block_index < first.block_index")
-    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("first.start_line").alias("line")).filter(F.col("n") > most).withColumn("quote", F.lit(""))
+    """The first paragraph beyond the allowed number before the first code, image or table, with its first sentence."""
+    whole = Window.partitionBy("doc_id")
+    shown = F.min(F.when(F.col("kind").isin("code", "image", "table"), F.col("block_index"))).over(whole)
+    b = blocks.withColumn("first", shown).filter("kind = 'prose' and block_index < first").withColumn("n", F.row_number().over(_in_document()))
+    return b.filter(F.col("n") == most + 1).select("doc_id", F.col("start_line").alias("line"), F.get(sentence_array(F.col("text")), F.lit(0)).alias("quote"))
 
 
 @rule("duplicateBlock", "notice", "blocks")
 def duplicate_block(blocks: DataFrame, least: int = 4, percent: int = 90) -> DataFrame:
     """Code whose lines, as a multiset, nearly equal those of an earlier block (Dice); pairs arise from shared lines of one document."""
-    lines = blocks.filter("kind = 'code'").select("doc_id", "block_index", "start_line", F.explode(F.split("text", "\n")).alias("l")).filter((strip(F.col("l")) != "") & ~F.col("l").rlike(r"^ {0,3}(```|~~~)"))
+    lines = blocks.filter("kind = 'code'").select("doc_id", "block_index", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "l")).filter((strip(F.col("l")) != "") & ~F.col("l").rlike(r"^ {0,3}(```|~~~)"))
     n = lines.groupBy("doc_id", "block_index", "start_line", "l").agg(F.count(F.lit(1)).alias("n"))
     size = n.groupBy("doc_id", "block_index").agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
-    n = n.join(size, ["doc_id", "block_index"])
+    opening = lines.groupBy("doc_id", "block_index").agg(F.min_by(strip(F.col("l")), "i").alias("first_line"))
+    n = n.join(size, ["doc_id", "block_index"]).join(opening, ["doc_id", "block_index"])
     old = n.select("doc_id", "l", F.col("block_index").alias("old"), F.col("n").alias("m"), F.col("size").alias("old_size"))
-    pairs = n.join(old, ["doc_id", "l"]).filter("old < block_index").groupBy("doc_id", "block_index", "start_line", "old", "size", "old_size").agg(F.sum(F.least("n", "m")).alias("common"))
-    return pairs.filter(F.col("common") * 200 >= percent * (F.col("size") + F.col("old_size"))).groupBy("doc_id", "block_index").agg(F.min("start_line").alias("line"), F.lit("").alias("quote"))
+    pairs = n.join(old, ["doc_id", "l"]).filter("old < block_index").groupBy("doc_id", "block_index", "start_line", "first_line", "old", "size", "old_size").agg(F.sum(F.least("n", "m")).alias("common"))
+    return pairs.filter(F.col("common") * 200 >= percent * (F.col("size") + F.col("old_size"))).groupBy("doc_id", "block_index").agg(F.min("start_line").alias("line"), F.min("first_line").alias("quote"))
 
 
 @rule("connectorRepeat", "error", "sentences")
@@ -169,7 +184,7 @@ def connector_repeat(s: DataFrame) -> DataFrame:
 
 @rule("fillerOpener", "error", "sentences")
 def filler_opener(s: DataFrame) -> DataFrame:
-    return s.filter(F.col("quote").rlike("^(" + "|".join(markers.FILLERS) + r")[\s,]"))
+    return s.filter(F.col("quote").rlike(markers.FILLERS))
 
 
 @rule("imperativePeriod", "error", "sentences")
@@ -179,7 +194,7 @@ def imperative_period(s: DataFrame) -> DataFrame:
 
 @rule("doubleNegative", "error", "sentences")
 def double_negative(s: DataFrame) -> DataFrame:
-    return s.filter(markers.has_any(F.col("quote"), markers.DOUBLE_NEGATIVES))
+    return s.filter(F.col("quote").rlike(markers.DOUBLE_NEGATIVES))
 
 
 @rule("enoughOnce", "error", "sentences")
@@ -267,12 +282,11 @@ def no_question(blocks: DataFrame) -> DataFrame:
 @rule("moreLater", "notice", "blocks")
 def more_later(blocks: DataFrame, most: int = 150) -> DataFrame:
     """The longest list item of the last section, where one is too long; continuation lines count, link targets and marks do not."""
-    bullet = r"\s*(?:[-*+]|[0-9]+[.)])\s+"
     b = blocks.withColumn("last", F.max("section_index").over(Window.partitionBy("doc_id"))).filter("last > 0 and section_index = last and kind = 'list'")
-    items = b.select("doc_id", "block_index", "start_line", F.posexplode(F.split("text", rf"\n(?={bullet})")).alias("i", "item"))
+    items = b.select("doc_id", "block_index", "start_line", F.posexplode(F.split("text", rf"\n(?={markers.BULLET})")).alias("i", "item"))
     above = F.sum(F.size(F.split("item", "\n"))).over(Window.partitionBy("doc_id", "block_index").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     items = items.withColumn("line", (F.col("start_line") + F.coalesce(above, F.lit(0))).cast("int"))
-    plain = F.regexp_replace(F.regexp_replace("item", f"^{bullet}", ""), r"\s*\n\s*", " ")
+    plain = F.regexp_replace(F.regexp_replace("item", f"^{markers.BULLET}", ""), r"\s*\n\s*", " ")
     items = items.withColumn("quote", strip(F.regexp_replace(F.regexp_replace(plain, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), "[*`]", "")))
     return items.filter(F.length("quote") > most).groupBy("doc_id").agg(F.max_by(F.struct("line", "quote"), F.struct(F.length("quote"), -F.col("line"))).alias("f")).select("doc_id", "f.line", "f.quote")
 
@@ -281,11 +295,11 @@ def more_later(blocks: DataFrame, most: int = 150) -> DataFrame:
 def table_odd_cell(blocks: DataFrame, least: int = 4) -> DataFrame:
     """The one cell of a table column that is no measure where all others have one unit. The first row and the first column are names."""
     rows = blocks.filter("kind = 'table'").select("doc_id", "block_index", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("l", strip(F.col("l"))).filter(F.col("l").startswith("|"))
-    rows = rows.withColumn("cells", F.transform(F.split(F.regexp_replace("l", r"^\|+|\|+$", ""), r"\|", -1), strip)).filter(~F.forall("cells", lambda c: (c == "") | c.rlike("^:?-{2,}:?$")))
+    rows = rows.withColumn("cells", F.transform(F.split(F.regexp_replace("l", r"^\|+|\|+$", ""), r"\|", -1), strip)).filter(~F.forall("cells", lambda c: (c == "") | c.rlike(markers.TABLE_RULE)))
     table = Window.partitionBy("doc_id", "block_index")
     rows = rows.withColumn("n", F.row_number().over(table.orderBy("i"))).filter("n > 1").withColumn("width", F.min(F.size("cells")).over(table))
     cells = rows.select("doc_id", "block_index", (F.col("start_line") + F.col("i")).alias("line"), "width", F.posexplode("cells").alias("column", "quote")).filter("column > 0 and column < width and quote not in ('', '-', '--')")
-    unit = F.nullif(F.regexp_extract("quote", r"^[+-]?[0-9][0-9,]*(?:\.[0-9]+)?\s*([^\s0-9]{1,6})$", 1), F.lit(""))
+    unit = F.nullif(F.regexp_extract("quote", markers.UNIT, 1), F.lit(""))
     c = cells.withColumn("unit", unit).groupBy("doc_id", "block_index", "column").agg(F.count(F.lit(1)).alias("n"), F.count("unit").alias("measured"), F.min("unit").alias("lo"), F.max("unit").alias("hi"), F.min(F.when(F.col("unit").isNull(), F.struct("line", "quote"))).alias("f"))
     return c.filter((F.col("n") >= least) & (F.col("measured") == F.col("n") - 1) & (F.col("lo") == F.col("hi"))).select("doc_id", "f.line", "f.quote")
 
@@ -299,7 +313,7 @@ def number_orphan(blocks: DataFrame) -> DataFrame:
     m = s.select("doc_id", "pos", "line", "quote", F.explode(F.regexp_extract_all("quote", F.lit(markers.FROM_TO), F.lit(0))).alias("change"))
     m = m.select("*", *[F.replace(F.regexp_extract("change", markers.FROM_TO, g), F.lit(","), F.lit("")).alias(name) for g, name in ((1, "base"), (2, "to"))])
     m = m.withColumn("before", F.expr("left(quote, instr(quote, change) - 1)")).filter("base <> to and (contains(base, '.') or length(base) >= 2)")
-    m = m.filter(~F.array_contains(markers.numerals_of(F.col("before")), F.col("base")) & ~markers.has_any(F.expr("right(before, 12)"), markers.ANCHORS))
+    m = m.filter(~F.array_contains(markers.numerals_of(F.col("before")), F.col("base")) & ~F.expr("right(before, 12)").rlike(markers.ANCHORS))
     return m.join(first, ["doc_id", "base"], "left").filter("first_pos is null or first_pos >= pos").select("doc_id", "line", "quote").distinct()
 
 
@@ -307,4 +321,4 @@ def number_orphan(blocks: DataFrame) -> DataFrame:
 def platform_api(blocks: DataFrame) -> DataFrame:
     """Lines of code, not of output, that run on one system only."""
     code = blocks.filter((F.col("kind") == "code") & ~F.col("language").isin(OUTPUTS)).select("doc_id", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "l"))
-    return code.filter(markers.has_any(F.col("l"), markers.PLATFORM_APIS)).select("doc_id", (F.col("start_line") + F.col("i")).alias("line"), strip(F.col("l")).alias("quote"))
+    return code.filter(markers.has_any(F.col("l"), [p for p, _, _ in markers.PLATFORM_APIS])).select("doc_id", (F.col("start_line") + F.col("i")).alias("line"), strip(F.col("l")).alias("quote"))

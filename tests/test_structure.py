@@ -5,6 +5,7 @@ from proselake.operators.structure import RULES, findings, without_baseline
 CODE = "```py\na = 1\nb = 2\nc = 3\nd = 4\n```"
 CASES = {
     "headingSkip": ("# a\n\n### b\n", [3], "# a\n\n## b\n"),
+    "loneSubheading": ("## a\n\n### b\n\nx\n\n## c\n\n### d\n\n### e\n", [3], "## a\n\n### b\n\n### c\n"),
     "headingSentence": ("## 이것은 끝났다\n", [1], "## 왜 그럴까\n"),
     "headingUniform": ("## 만들기\n\n## 지우기\n\n## 고치기\n", [1], "## 만들기\n\n## 지우는 법\n\n## 고친 곳\n"),
     "sectionNoProse": ("## a\n\n```py\nx\n```\n", [1], "## a\n\ntext\n"),
@@ -13,17 +14,17 @@ CASES = {
     "blockUnread": ("```py\nx\n```\n\n```text\n42\n```\n", [5], "```py\nx\n```\n\n```text\n42\n```\n\nread\n"),
     "emojiBullet": ("- plain\n- 🚀 go\n- 🚀 on\n", [2], "- plain 🚀\n"),
     "dash": ("a\nb – c\n\n```\nx — y\n```\n", [2, 5], "a-b\n"),
-    "firstResultDistance": ("a\n\nb\n\nc\n\nd\n\ne\n\n```py\nx\n```\n", [11], "a\n\nb\n\nc\n\nd\n\n```py\nx\n```\n"),
+    "firstResultDistance": ("a\n\nb\n\nc\n\nd\n\ne\n\n```py\nx\n```\n", [9], "a\n\nb\n\nc\n\nd\n\n```py\nx\n```\n"),
     "duplicateBlock": (f"{CODE}\n\ntext\n\n{CODE}\n", [10], f"{CODE}\n\n```py\na = 1\nq\nr\ns\n```\n"),
     "connectorRepeat": ("하지만 비가 왔다. 하지만 갔다.\n", [1], "하지만 비가 왔다.\n\n하지만 갔다.\n"),
-    "fillerOpener": ("마지막으로 정리한다.\n", [1], "이것이 마지막으로 남는다.\n"),
+    "fillerOpener": ("첫 줄이다.\n마지막으로 정리한다.\n", [2], "이것이 마지막으로 남는다.\n"),
     "imperativePeriod": ("여기를 누르세요.\n", [1], "여기를 누르세요\n"),
     "doubleNegative": ("가지 않을 수 없다.\n", [1], "가지 않는다.\n"),
     "enoughOnce": ("여기까지 하면 충분하다. 이 정도면 충분하다.\n", [1], "여기까지 하면 충분하다.\n"),
     "promiseRecall": ("이 값은 뒤에서 다루겠다.\n", [1], "이 값은 뒤에서 다루겠다. 앞에서 말한 값이다.\n"),
     "longSentence": ("가 " * 30 + "간다.\n", [1], "가 " * 29 + "간다.\n"),
     "euiChain": ("회사의 팀의 일이다.\n", [1], "정의 리소스의 값이다.\n"),
-    "negationRedefine": ("단순한 도구가 아닙니다. 새 기준입니다.\n", [1], "단순한 도구가 아닙니다. 그래서 어렵습니다.\n"),
+    "negationRedefine": ("이 일은 단순한 연습이 아닙니다. 실전입니다.\n", [1], "단순한 도구가 아닙니다. 그래서 어렵습니다.\n"),
     "endingRepeat": ("비가 옵니다. 눈이 옵니다. 해가 뜹니다. 달이 뜹니다.\n", [1], "비가 옵니다. 그래서 눈이 옵니다. 해가 뜹니다. 달이 뜹니다.\n"),
     "factListParagraph": ("비가 온다. 눈이 온다. 해가 뜬다.\n", [1], "비가 온다. 그래서 눈이 온다. 해가 뜬다.\n"),
     "bridgeRepeat": ("## 가\n\n이번에는 간다.\n\n## 나\n\n이제 온다.\n\n## 다\n\n이어서 본다.\n", [3], "## 가\n\n이번에는 간다.\n\n## 나\n\n이제 온다.\n"),
@@ -64,3 +65,21 @@ def test_baseline_locks_quotes(spark):
     f = findings(docs, ["dash"])
     lock = spark.createDataFrame([(1, "dash", "c – d")], "doc_id long, rule string, quote string")
     assert [(r.line, r.quote) for r in without_baseline(f, lock).collect()] == [(1, "a – b")]
+
+
+def test_front_matter_title_is_level_one(spark):
+    docs = spark.createDataFrame([(1, "---\ntitle: x\n---\n### deep\n"), (2, "---\nname: x\n---\n### deep\n")], "doc_id long, text string")
+    assert [(r.doc_id, r.line) for r in findings(docs, ["headingSkip"]).collect()] == [(1, 4)]
+
+
+def test_lines_inside_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "하나. 둘.\n셋이다.  \n가지 않을 수\n없다. 끝\n\n가지 않을 수 없다.")], "doc_id long, text string")
+    assert sorted(r.line for r in findings(docs, ["doubleNegative"]).collect()) == [6]
+    docs = spark.createDataFrame([(1, "U.S. law.\n\n다.\n이어서 간다.\n마지막으로 간다.")], "doc_id long, text string")
+    assert sorted(r.line for r in findings(docs, ["fillerOpener"]).collect()) == [4, 5]
+
+
+def test_quotes(spark):
+    docs = spark.createDataFrame([(1, "## 만들기\n\n## 지우기\n\n## 고치기\n"), (2, "![a](b)\n\n![c](d)\n\n## s\n\nx\n"), (3, f"{CODE}\n\ntext\n\n{CODE}\n")], "doc_id long, text string")
+    got = {r.doc_id: r.quote for r in findings(docs, ["headingUniform", "introImage", "duplicateBlock"]).collect()}
+    assert got == {1: "만들기, 지우기, 고치기", 2: "![a](b)", 3: "a = 1"}

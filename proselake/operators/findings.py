@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proselake.functions.text import strip
+from proselake.operators import document_rules  # noqa: F401  registers its rules
 from proselake.operators.lexicon import LEXICON_RULES, Entry, lexicon_findings
 from proselake.operators.structure import RULES, blocks_with_language, findings_of, prose_sentences
 from proselake.sources.markdown import disabled_ranges

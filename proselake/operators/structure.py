@@ -75,7 +75,7 @@ def _headings(blocks: DataFrame) -> DataFrame:
 @rule("headingSkip", "error", "blocks")
 def heading_skip(blocks: DataFrame) -> DataFrame:
     """A heading more than one level below the one before; a title in the front matter counts as level 1."""
-    titled = F.max((F.col("kind") == "front").cast("int")).over(Window.partitionBy("doc_id"))
+    titled = F.max(((F.col("kind") == "front") & F.col("text").rlike("^title: .")).cast("int")).over(Window.partitionBy("doc_id"))
     h = blocks.withColumn("titled", titled).filter("kind = 'heading'").withColumn("quote", _title()).withColumn("line", F.col("start_line"))
     return h.withColumn("before", F.coalesce(F.lag("level").over(_in_document()), F.when(F.col("titled") == 1, 1))).filter("level > before + 1")
 

@@ -78,14 +78,14 @@ def blocks_of(text: str) -> list[tuple[str, int, int, int, str]]:
 
 
 def parse_markdown(docs: DataFrame, front: bool = False) -> DataFrame:
-    """One row per block. Sections are numbered by add_sections. With `front`, a document whose front matter has a title
-    has a block -1 of kind `front` with that title."""
+    """One row per block. Sections are numbered by add_sections. With `front`, each pair of the front matter is a
+    block of kind `front` before the others, its text `key: value`."""
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in frames:
             rows = [(i, n, k, a, b, level, t) for i, text in zip(d.doc_id, d.text, strict=True) for n, (k, a, b, level, t) in enumerate(blocks_of(text or ""))]
             if front:
-                rows += [(i, -1, "front", 1, 1, 0, title) for i, text in zip(d.doc_id, d.text, strict=True) if (title := front_matter((text or "").split("\n"))[0].get("title"))]
+                rows += [(i, -1 - n, "front", 1, 1, 0, f"{k}: {v}") for i, text in zip(d.doc_id, d.text, strict=True) for n, (k, v) in enumerate(front_matter((text or "").split("\n"))[0].items())]
             yield pd.DataFrame(rows, columns=["doc_id", "block_index", "kind", "start_line", "end_line", "level", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(f, BLOCKS)

@@ -1,5 +1,6 @@
 import pytest
 
+from proselake.operators import document_rules  # noqa: F401
 from proselake.operators.structure import RULES, findings, without_baseline
 
 CODE = "```py\na = 1\nb = 2\nc = 3\nd = 4\n```"
@@ -33,6 +34,17 @@ CASES = {
     "moreLater": ("## 가\n\n- 짧다\n- " + "가" * 80 + "\n  " + "나" * 80 + "\n", [4], "- " + "가" * 200 + "\n\n## 나\n\n- [짧다](" + "x" * 200 + ")\n"),
     "tableOddCell": ("| a | b |\n|---|---|\n| x | 1초 |\n| y | 2초 |\n| z | 3초 |\n| w | 없음 |\n", [6], "| a | b |\n|---|---|\n| x | 1초 |\n| y | 2초 |\n| z | 없음 |\n| w | 없음 |\n"),
     "numberOrphan": ("값이 453MB에서 700MB로 올랐다.\n", [1], "값은 453MB다.\n\n값이 453MB에서 700MB로 올랐다.\n"),
+    "danglingDeixis": ("서버가 느리다. 이것은 어렵다.\n", [1], "서버가 느린가? 이것은 어렵다.\n"),
+    "deixis": ("서버가 느리다. 이러한 서버가 많다.\n", [1], "서버가 느리다. 서버가 많다.\n"),
+    "nounPile": ("서버 로그 수집 오류 분석 파일을 본다.\n", [1], "서버 로그를 수집 오류로 본다.\n"),
+    "doublePassive": ("글이 잘 보여진다.\n", [1], "글이 잘 보인다.\n"),
+    "phraseRepeat": ("좋은 것이다. 나쁜 것이다. " + "비가 온다. " * 6 + "\n", [1], "좋은 것이다. " + "비가 온다. " * 7 + "\n"),
+    "countMismatch": ("세 가지를 본다.\n\n## 가\n\n끝.\n\n## 나\n\n네 가지를 보았다.\n", [9], "세 가지를 본다.\n\n## 가\n\n네 가지.\n\n## 나\n\n3 가지를 보았다.\n"),
+    "keywordMissing": ("---\ntitle: 글\nkeyword: 서버\n---\n처음.\n", [5], "---\ntitle: 서버 글\nkeyword: 서버\n---\n처음.\n"),
+    "keywordHeading": ("---\ntitle: 서버 글\nkeyword: 서버\n---\n처음.\n\n## 가\n\n## 나\n\n## 다\n", [5], "---\ntitle: 서버 글\nkeyword: 서버\n---\n처음.\n\n## 가\n\n## 서버\n\n## 다\n"),
+    "fieldEcho": ("---\nquestion: 서버 속도\n---\n바다가 푸르다.\n", [1], "---\nquestion: 서버 속도\n---\n서버가 느리다.\n"),
+    "inputFileSource": ("```py\ndf = read_csv('a.csv')\n```\n", [2], "`a.csv` 파일을 받는다.\n\n```py\ndf = read_csv('a.csv')\n```\n"),
+    "installImport": ("```sh\npip install requests\n```\n\n```py\nimport os\nimport numpy as np\nimport requests\n```\n", [7], "```py\nimport numpy\n```\n"),
     "platformApi": ("```py\nimport winreg\n```\n", [2], "```text\nimport winreg\n```\n"),
 }
 

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proselake.functions.text import normal_words, numerals
+from proselake.functions.text import normal_words, numerals, sentences
 from proselake.operators.prose import long_sentences, number_orphans
 from proselake.plans.windows import first_occurrence, runs
 
 SPLIT = 1500
 
 
-def baseline_keep(docs: DataFrame) -> DataFrame:
-    """Findings that the baseline (those of documents with an even id) does not hold."""
-    found = long_sentences(docs)
-    return found.join(found.filter("doc_id % 2 = 0").select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
+def _quoted(docs: DataFrame, most: int) -> DataFrame:
+    """Findings of sentences of more than `most` words with the quote that baselines hold: blanks are single."""
+    s = sentences(docs).filter(F.col("words") > most)
+    return s.select("doc_id", "pos", "words", F.trim(F.regexp_replace("sentence", r"\s+", " ")).alias("quote"))
 
 
-def baseline_prune(docs: DataFrame) -> DataFrame:
-    """Baseline entries that are still found."""
-    found = long_sentences(docs)
-    return found.filter("doc_id % 2 = 0").join(found.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+def baseline_keep(docs: DataFrame, most: int = 30, locked: int = 40) -> DataFrame:
+    """Findings whose quote the baseline (what a limit of `locked` words reports) does not hold for the document."""
+    return _quoted(docs, most).join(_quoted(docs, locked).select("doc_id", "quote").distinct(), ["doc_id", "quote"], "left_anti").select("doc_id", "pos", "words")
+
+
+def baseline_prune(docs: DataFrame, most: int = 30, locked: int = 25) -> DataFrame:
+    """Per document, entries of a baseline that a limit of `locked` words made: those still found and those that go."""
+    baseline = _quoted(docs, locked).select("doc_id", "quote").distinct()
+    found = _quoted(docs, most).select("doc_id", "quote").distinct().withColumn("still", F.lit(1))
+    return baseline.join(found, ["doc_id", "quote"], "left").groupBy("doc_id").agg(F.count("still").alias("kept"), (F.count(F.lit(1)) - F.count("still")).alias("pruned"))
 
 
 def band_join(docs: DataFrame) -> DataFrame:
@@ -30,11 +36,10 @@ def band_join(docs: DataFrame) -> DataFrame:
     return long_sentences(docs).join(near, ["doc_id", "pos"], "left_semi")
 
 
-def disabled_ranges(events: DataFrame) -> DataFrame:
-    """Events outside the ranges [1000 k, 1000 k + 99]."""
-    ranges = events.select(F.floor(F.col("event_id") / 1000).alias("k")).distinct().select("k", (F.col("k") * 1000).alias("a"), (F.col("k") * 1000 + 99).alias("b"))
-    e = events.select("event_id", "user_id", F.floor(F.col("event_id") / 1000).alias("k"))
-    return e.join(ranges, (e.k == ranges.k) & e.event_id.between(ranges.a, ranges.b), "left_anti").drop("k")
+def disabled_ranges(events: DataFrame, length: int = 400) -> DataFrame:
+    """Events outside the ranges that their user's errors open: an error switches off itself and the ids up to `length` after it."""
+    last = F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).over(Window.partitionBy("user_id").orderBy("event_id"))
+    return events.withColumn("last", last).filter("last is null or event_id > last + %d" % length).select("event_id", "user_id")
 
 
 def turn_dice(conversations: DataFrame) -> DataFrame:
@@ -55,12 +60,13 @@ def surface_diff(conversations: DataFrame) -> DataFrame:
 
 
 def outline_compare(conversations: DataFrame) -> DataFrame:
-    """Roles by position in each conversation against the next one."""
-    a = conversations.select("conv_id", "turn", F.col("role").alias("old"))
-    b = conversations.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("role").alias("new"))
+    """The role and opening words of each turn against the turn two places before, by conversation and place."""
+    opening = F.concat_ws(" ", "role", F.substring(F.lower("text"), 1, 12))
+    a = conversations.select("conv_id", (F.col("turn") + 2).alias("turn"), opening.alias("old"))
+    b = conversations.select("conv_id", "turn", opening.alias("new"))
     j = a.join(b, ["conv_id", "turn"], "full")
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").otherwise("changed")
-    return j.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return j.groupBy("conv_id", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _predicted(labels: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proselake.functions.markers import HEDGES, count_of
+from proselake.functions.tokens import sentence_key
 from proselake.functions.text import normal_words, numerals, sentences, strip
 from proselake.plans.windows import first_occurrence, percentiles, runs
 
@@ -90,10 +91,17 @@ def topic_overlap(docs: DataFrame) -> DataFrame:
 
 
 def phrase_repeats(docs: DataFrame, k: int = 4, least: int = 3) -> DataFrame:
-    """Phrases of k words that one document has at least `least` times."""
+    """Phrases of k words that one document has at least `least` times: counted on the document's sorted phrases, so nothing is exchanged."""
     w = docs.select("doc_id", normal_words(F.col("text")).alias("w")).filter(F.size("w") >= k)
-    p = w.select("doc_id", F.explode(F.expr(f"transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), ' '))")).alias("phrase"))
-    return p.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    sorted_ = F.sort_array(F.expr(f"transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), ' '))"))
+
+    def often(p: Column) -> Column:
+        """In sorted order a phrase stands `least` times if the element least - 1 places on is the same."""
+        phrases = F.array_distinct(F.filter(p, lambda x, i: x == F.get(p, i + (least - 1))))
+        return F.transform(phrases, lambda x: F.struct(x.alias("phrase"), F.size(F.filter(p, lambda y: y == x)).cast("long").alias("n")))
+
+    found = F.get(F.transform(F.array(sorted_), often), F.lit(0))  # binds the sorted phrases once
+    return w.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.phrase", "f.n")
 
 
 def number_orphans(docs: DataFrame) -> DataFrame:
@@ -141,8 +149,8 @@ def override_spans(docs: DataFrame) -> DataFrame:
 
 
 def dedupe_fold(docs: DataFrame) -> DataFrame:
-    """Distinct sentences with digits folded to 0, the number of documents and the first document."""
-    s = sentences(docs).withColumn("folded", F.regexp_replace("sentence", "[0-9]", "0"))
+    """Distinct sentences with blanks and runs of digits folded, the number of documents and the first document."""
+    s = sentences(docs).withColumn("folded", sentence_key(F.col("sentence")))
     return s.groupBy("folded").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
@@ -153,24 +161,33 @@ def ngram_documents(docs: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
 
 
 def collocations(docs: DataFrame, term: str = "the", top: int = 20) -> DataFrame:
-    """The words that most documents have right after `term`; ties by word."""
-    w = docs.select("doc_id", F.posexplode(normal_words(F.col("text"))).alias("pos", "word"))
-    w = w.withColumn("after", F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos"))).filter((F.col("word") == term) & F.col("after").isNotNull())
-    return w.groupBy("after").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("documents"), "after").limit(top)
+    """The words that most documents have right after `term`; ties by word. Neighbours are found in the document's array; only they are exchanged."""
+    w = docs.filter(F.contains(F.lower("text"), F.lit(term))).select("doc_id", normal_words(F.col("text")).alias("w"))
+    after = F.filter(F.transform("w", lambda x, i: F.when(x == term, F.get("w", i + 1))), lambda x: x.isNotNull())
+    n = w.select("doc_id", F.explode(after).alias("after")).groupBy("after", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("after").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n")).orderBy(F.desc("documents"), "after").limit(top)
+
 
+#: Query terms up to this number are broadcast; beyond, the join is shuffled.
+BROADCAST_TERMS = 1_000_000
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best documents for each query text by BM25; scores are floored to whole millionths, ties by doc_id."""
-    tf = docs.select("doc_id", F.explode(normal_words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    size = docs.select("doc_id", F.size(normal_words(F.coalesce("text", F.lit("")))).alias("len"))
-    total = size.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+
+def bm25(docs: DataFrame, queries: DataFrame, top: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The best documents for each query text by BM25; scores are floored to whole millionths, ties by doc_id.
+
+    Terms that no query asks for are dropped before anything is exchanged; a document's length stays on its rows.
+    """
     asked = queries.select("item_id", F.explode(F.array_distinct(normal_words(F.col("text")))).alias("term"))
-    tf = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    words = docs.select("doc_id", normal_words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("len", F.size("w"))
+    total = words.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    tf = words.select("doc_id", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hit = asked.join(tf, "term").join(df, "term").join(size, "doc_id").join(F.broadcast(total), F.lit(True))
-    score = hit.groupBy("item_id", "doc_id").agg(F.floor(F.sum(part) * 1000 + 1e-7).alias("score"))
+    hit = asked.join(tf, "term").join(df, "term").join(F.broadcast(total), F.lit(True))
+    score = hit.groupBy("item_id", "doc_id").agg(F.floor(F.sum(part) * 1000000 + 1e-4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return score.withColumn("rank", rank).filter(F.col("rank") <= top)
 

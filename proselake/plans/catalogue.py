@@ -26,6 +26,7 @@ s AS (SELECT {keys}, pos::INT AS pos, a[pos + 1] AS sentence, len(list_filter(re
 S = "WITH " + _sentences("documents", "doc_id, lang")
 HIST = S + ", h AS (SELECT lang, least(words, 200) AS value, count(*) AS n FROM s GROUP BY ALL)"
 PCT = HIST + ", c AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY value) AS c, sum(n) OVER (PARTITION BY lang) AS t FROM h), p AS (SELECT lang, " + ", ".join(f"min(CASE WHEN c * 100 >= t * {p} THEN value END) AS p{p}" for p in (50, 90, 95, 99)) + " FROM c GROUP BY lang)"
+QUOTED = r", q AS (SELECT doc_id, pos, words, trim(regexp_replace(sentence, '\s+', ' ', 'g')) AS quote FROM s)"
 LONG = "SELECT doc_id, pos, words FROM s WHERE words > 30"
 WORDS = "regexp_extract_all(lower({}), '[a-z]+')"
 NUMS = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')))"
@@ -62,7 +63,7 @@ CATALOGUE: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], str]] = {
     "override_match": (prose.override_match, _D, LEX + " SELECT doc_id, pos, max(ord) AS ord FROM l WHERE n > 0 GROUP BY 1, 2"),
     "earliest_match": (prose.earliest_match, _D, SPANS + ' SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY start_at, ord) = 1'),
     "override_spans": (prose.override_spans, _D, SPANS + ' SELECT doc_id, pos, start_at, end_at, max(ord) AS ord FROM g GROUP BY ALL'),
-    "sentence_dedupe_fold": (prose.dedupe_fold, _D, S + " SELECT regexp_replace(sentence, '[0-9]', '0', 'g') AS folded, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM s GROUP BY 1"),
+    "sentence_dedupe_fold": (prose.dedupe_fold, _D, S + " SELECT regexp_replace(trim(regexp_replace(sentence, '\\s+', ' ', 'g')), '[0-9]+', '0', 'g') AS folded, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM s GROUP BY 1"),
     "ngram_doc_counts": (prose.ngram_documents, _D, "SELECT g AS chain, count(DISTINCT doc_id) AS documents FROM (" + GRAMS.format(3) + ") GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3"),
     "collocations_topk": (prose.collocations, _D, f"WITH x AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)) SELECT w[i + 1] AS after, count(DISTINCT doc_id) AS documents, count(*) AS n FROM x WHERE w[i] = 'the' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "bm25_topk": (prose.bm25, ("documents", "benchmark"), f"""
@@ -70,21 +71,21 @@ WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documen
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
 t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 q AS (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark),
-h AS (SELECT item_id, doc_id, floor(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(w) / mean))) * 1000 + 1e-7)::BIGINT AS score
+h AS (SELECT item_id, doc_id, floor(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (1.5::DOUBLE + 1) / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(w) / mean))) * 1000000 + 1e-4)::BIGINT AS score
   FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d USING (doc_id), t GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h) SELECT * FROM r WHERE rank <= 5"""),
     "paragraph_aggregates": (prose.paragraphs, _D, rf"WITH l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS b FROM documents), l1 AS (SELECT doc_id, b, unnest(range(len(b))) AS paragraph FROM l0), l AS (SELECT doc_id, paragraph::INT AS paragraph, b[paragraph + 1] AS text FROM l1), " + _sentences("l", "doc_id, paragraph") + " SELECT doc_id, paragraph, count(*) AS sentences, sum(words)::BIGINT AS words, max(words) AS longest FROM s GROUP BY 1, 2"),
-    "baseline_keep": (compare.baseline_keep, _D, S + f" SELECT * FROM ({LONG}) WHERE doc_id % 2 <> 0"),
-    "baseline_prune": (compare.baseline_prune, _D, S + f" SELECT * FROM ({LONG}) WHERE doc_id % 2 = 0"),
+    "baseline_keep": (compare.baseline_keep, _D, S + QUOTED + " SELECT doc_id, pos, words FROM q ANTI JOIN (SELECT DISTINCT doc_id, quote FROM q WHERE words > 40) b USING (doc_id, quote) WHERE words > 30"),
+    "baseline_prune": (compare.baseline_prune, _D, S + QUOTED + ", b AS (SELECT doc_id, quote, max(words > 30) AS still FROM q WHERE words > 25 GROUP BY 1, 2) SELECT doc_id, sum(still::INT)::BIGINT AS kept, sum((NOT still)::INT)::BIGINT AS pruned FROM b GROUP BY 1"),
     "coverage_band_join": (compare.band_join, _D, ORPHANS + " SELECT doc_id, pos, words FROM s WHERE words > 30 AND EXISTS (SELECT 1 FROM o WHERE o.doc_id = s.doc_id AND o.pos BETWEEN s.pos - 1 AND s.pos + 1)"),
-    "disabled_range_filter": (compare.disabled_ranges, _E, "SELECT event_id, user_id FROM events WHERE event_id % 1000 > 99"),
+    "disabled_range_filter": (compare.disabled_ranges, _E, "SELECT e.event_id, e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND e.event_id BETWEEN x.event_id AND x.event_id + 400)"),
     "line_multiset_dice": (compare.turn_dice, _C, f"""
 WITH w AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest({WORDS.format('text')}) AS word FROM conversations) GROUP BY ALL),
 z AS (SELECT conv_id, turn, sum(n) AS size FROM w GROUP BY ALL),
 b AS (SELECT a.conv_id, a.turn, sum(least(a.n, p.n)) AS common FROM w a JOIN w p ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 AND a.word = p.word GROUP BY ALL)
 SELECT z.conv_id, z.turn, coalesce(common, 0)::BIGINT AS common, (z.size + y.size)::BIGINT AS total FROM z JOIN z y ON y.conv_id = z.conv_id AND y.turn = z.turn - 1 LEFT JOIN b ON b.conv_id = z.conv_id AND b.turn = z.turn"""),
     "surface_diff_turns": (compare.surface_diff, _C, f"WITH c AS (SELECT conv_id, turn, {NUMS.format('text')} AS now FROM conversations), x AS (SELECT *, lag(now) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM c) SELECT conv_id, turn, len(list_filter(was, lambda v: NOT list_contains(now, v)))::INT AS lost, len(list_filter(now, lambda v: NOT list_contains(was, v)))::INT AS gained FROM x WHERE was IS NOT NULL"),
-    "outline_compare": (compare.outline_compare, _C, "SELECT CASE WHEN a.role IS NULL THEN 'added' WHEN b.role IS NULL THEN 'removed' WHEN a.role = b.role THEN 'same' ELSE 'changed' END AS status, count(*) AS n FROM conversations a FULL JOIN (SELECT conv_id - 1 AS conv_id, turn, role FROM conversations) b ON a.conv_id = b.conv_id AND a.turn = b.turn GROUP BY 1"),
+    "outline_compare": (compare.outline_compare, _C, "WITH o AS (SELECT conv_id, turn, concat_ws(' ', role, substr(lower(text), 1, 12)) AS t FROM conversations) SELECT conv_id, CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' WHEN a.t = b.t THEN 'same' ELSE 'changed' END AS status, count(*) AS n FROM (SELECT conv_id, turn + 2 AS turn, t FROM o) a FULL JOIN o b USING (conv_id, turn) GROUP BY ALL"),
     "confusion_macro_f1": (compare.confusion, _L, PRED + ", k AS (SELECT unnest([0, 1]) AS class), t AS (SELECT class, sum((quality = class AND pred = class)::INT)::BIGINT AS tp, sum((quality <> class AND pred = class)::INT)::BIGINT AS fp, sum((quality = class AND pred <> class)::INT)::BIGINT AS fn FROM p, k GROUP BY 1) SELECT *, floor(tp * 2000 / nullif(2 * tp + fp + fn, 0))::BIGINT AS f1_permille FROM t"),
     "krippendorff_alpha": (compare.agreement, _L, PRED + ", t AS (SELECT count(*) AS n, sum((quality <> pred)::INT)::BIGINT AS d, sum(quality + pred)::BIGINT AS ones FROM p) SELECT n, d, floor((1 - d / (ones * (2 * n - ones) / (2.0::DOUBLE * n - 1))) * 1000000 + 1e-6)::BIGINT AS alpha_millionths FROM t"),
     "calibration_bins_brier": (compare.calibration, _L, PRED + ", q AS (SELECT quality, floor(least(n_chars, 2999) * 1000 / 3000)::BIGINT AS m FROM p) SELECT (m // 100)::BIGINT AS bin, count(*) AS n, sum(quality)::BIGINT AS positives, sum(m)::BIGINT AS score_sum, sum((m - 1000 * quality) * (m - 1000 * quality))::BIGINT AS brier_sum FROM q GROUP BY 1"),

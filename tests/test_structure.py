@@ -2,52 +2,7 @@ import pytest
 
 from proselake.operators import document_rules  # noqa: F401
 from proselake.operators.structure import RULES, findings, without_baseline
-
-CODE = "```py\na = 1\nb = 2\nc = 3\nd = 4\n```"
-CASES = {
-    "headingSkip": ("# a\n\n### b\n", [3], "# a\n\n## b\n"),
-    "loneSubheading": ("## a\n\n### b\n\nx\n\n## c\n\n### d\n\n### e\n", [3], "## a\n\n### b\n\n### c\n"),
-    "headingSentence": ("## 이것은 끝났다\n", [1], "## 왜 그럴까\n"),
-    "headingUniform": ("## 만들기\n\n## 지우기\n\n## 고치기\n", [1], "## 만들기\n\n## 지우는 법\n\n## 고친 곳\n"),
-    "sectionNoProse": ("## a\n\n```py\nx\n```\n", [1], "## a\n\ntext\n"),
-    "introImage": ("![a](b)\n\n![c](d)\n\n## s\n\nx\n", [1], "![a](b)\n\n## s\n\nx\n"),
-    "introLong": ("a\n\nb\n\nc\n\nd\n\nEnd. More.\n\n## s\n\n1\n\n2\n\n3\n\n## t\n\n4\n\n5\n", [9], "a\n\nb\n\nc\n\nd\n\n## s\n\n1\n\n2\n\n## t\n\n3\n\n4\n"),
-    "blockUnread": ("```py\nx\n```\n\n```text\n42\n```\n", [5], "```py\nx\n```\n\n```text\n42\n```\n\nread\n"),
-    "emojiBullet": ("- plain\n- 🚀 go\n- 🚀 on\n", [2], "- plain 🚀\n"),
-    "dash": ("a\nb – c\n\n```\nx — y\n```\n", [2, 5], "a-b\n"),
-    "firstResultDistance": ("a\n\nb\n\nc\n\nd\n\ne\n\n```py\nx\n```\n", [9], "a\n\nb\n\nc\n\nd\n\n```py\nx\n```\n"),
-    "duplicateBlock": (f"{CODE}\n\ntext\n\n{CODE}\n", [10], f"{CODE}\n\n```py\na = 1\nq\nr\ns\n```\n"),
-    "connectorRepeat": ("하지만 비가 왔다. 하지만 갔다.\n", [1], "하지만 비가 왔다.\n\n하지만 갔다.\n"),
-    "fillerOpener": ("첫 줄이다.\n마지막으로 정리한다.\n", [2], "이것이 마지막으로 남는다.\n"),
-    "imperativePeriod": ("여기를 누르세요.\n", [1], "여기를 누르세요\n"),
-    "doubleNegative": ("가지 않을 수 없다.\n", [1], "가지 않는다.\n"),
-    "enoughOnce": ("여기까지 하면 충분하다. 이 정도면 충분하다.\n", [1], "여기까지 하면 충분하다.\n"),
-    "promiseRecall": ("이 값은 뒤에서 다루겠다.\n", [1], "이 값은 뒤에서 다루겠다. 앞에서 말한 값이다.\n"),
-    "longSentence": ("가 " * 30 + "간다.\n", [1], "가 " * 29 + "간다.\n"),
-    "euiChain": ("회사의 팀의 일이다.\n", [1], "정의 리소스의 값이다.\n"),
-    "negationRedefine": ("이 일은 단순한 연습이 아닙니다. 실전입니다.\n", [1], "단순한 도구가 아닙니다. 그래서 어렵습니다.\n"),
-    "endingRepeat": ("비가 옵니다. 눈이 옵니다. 해가 뜹니다. 달이 뜹니다.\n", [1], "비가 옵니다. 그래서 눈이 옵니다. 해가 뜹니다. 달이 뜹니다.\n"),
-    "factListParagraph": ("비가 온다. 눈이 온다. 해가 뜬다.\n", [1], "비가 온다. 그래서 눈이 온다. 해가 뜬다.\n"),
-    "bridgeRepeat": ("## 가\n\n이번에는 간다.\n\n## 나\n\n이제 온다.\n\n## 다\n\n이어서 본다.\n", [3], "## 가\n\n이번에는 간다.\n\n## 나\n\n이제 온다.\n"),
-    "paraFragment": ("가다.\n\n나다.\n\n다다.\n", [1], "가다.\n\n나다.\n\n```py\nx\n```\n\n다다.\n"),
-    "noQuestion": ("## 가\n\n간다.\n\n## 나\n\n온다.\n", [3], "## 왜?\n\n간다.\n\n## 나\n\n온다.\n"),
-    "moreLater": ("## 가\n\n- 짧다\n- " + "가" * 80 + "\n  " + "나" * 80 + "\n", [4], "- " + "가" * 200 + "\n\n## 나\n\n- [짧다](" + "x" * 200 + ")\n"),
-    "tableOddCell": ("| a | b |\n|---|---|\n| x | 1초 |\n| y | 2초 |\n| z | 3초 |\n| w | 없음 |\n", [6], "| a | b |\n|---|---|\n| x | 1초 |\n| y | 2초 |\n| z | 없음 |\n| w | 없음 |\n"),
-    "numberOrphan": ("값이 453MB에서 700MB로 올랐다.\n", [1], "값은 453MB다.\n\n값이 453MB에서 700MB로 올랐다.\n"),
-    "danglingDeixis": ("서버가 느리다. 이것은 어렵다.\n", [1], "서버가 느린가? 이것은 어렵다.\n"),
-    "deixis": ("서버가 느리다. 이러한 서버가 많다.\n", [1], "서버가 느리다. 서버가 많다.\n"),
-    "nounPile": ("서버 로그 수집 오류 분석 파일을 본다.\n", [1], "서버 로그를 수집 오류로 본다.\n"),
-    "doublePassive": ("글이 잘 보여진다.\n", [1], "글이 잘 보인다.\n"),
-    "phraseRepeat": ("좋은 것이다. 나쁜 것이다. " + "비가 온다. " * 6 + "\n", [1], "좋은 것이다. " + "비가 온다. " * 7 + "\n"),
-    "countMismatch": ("세 가지를 본다.\n\n## 가\n\n끝.\n\n## 나\n\n네 가지를 보았다.\n", [9], "세 가지를 본다.\n\n## 가\n\n네 가지.\n\n## 나\n\n3 가지를 보았다.\n"),
-    "keywordMissing": ("---\ntitle: 글\nkeyword: 서버\n---\n처음.\n", [5], "---\ntitle: 서버 글\nkeyword: 서버\n---\n처음.\n"),
-    "keywordHeading": ("---\ntitle: 서버 글\nkeyword: 서버\n---\n처음.\n\n## 가\n\n## 나\n\n## 다\n", [5], "---\ntitle: 서버 글\nkeyword: 서버\n---\n처음.\n\n## 가\n\n## 서버\n\n## 다\n"),
-    "fieldEcho": ("---\nquestion: 서버 속도\n---\n바다가 푸르다.\n", [1], "---\nquestion: 서버 속도\n---\n서버가 느리다.\n"),
-    "inputFileSource": ("```py\ndf = read_csv('a.csv')\n```\n", [2], "`a.csv` 파일을 받는다.\n\n```py\ndf = read_csv('a.csv')\n```\n"),
-    "installImport": ("```sh\npip install requests\n```\n\n```py\nimport os\nimport numpy as np\nimport requests\n```\n", [7], "```py\nimport numpy\n```\n"),
-    "platformApi": ("```py\nimport winreg\n```\n", [2], "```text\nimport winreg\n```\n"),
-}
-
+from proselake.plans.samples import CASES, CODE
 
 def test_every_rule_has_a_case():
     assert set(CASES) == set(RULES)

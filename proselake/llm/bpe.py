@@ -70,18 +70,15 @@ class MergeList:
     def merged(self, parts: list[str]) -> list[str]:
         """All merges applied to parts (which is changed), lowest rank first, leftmost first."""
         get, none = self.rank.get, self.none
-        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]  # noqa: B905  the last one has no partner
+        while ranks and (low := min(ranks)) != none:
             i = ranks.index(low)
-            parts[i] += parts.pop(i + 1)
+            whole = parts[i] = parts[i] + parts.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = get((parts[i - 1], whole), none)
             if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), none)
+                ranks[i] = get((whole, parts[i + 1]), none)
         return parts
 
     def stream(self, symbols: str) -> Iterator[str]:
@@ -141,13 +138,18 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self.pattern = regex.compile(PATTERN)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.whole = frozenset(t for t in self.vocab if len(t) <= 8 and t not in special and self.merges.merged(list(t)) == [t])
         self.pieces = _Pieces(self)
 
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.cache.get(word)
         if ids is None:
             symbols = word.encode().decode("latin-1").translate(self.to_letters)
-            ids = tuple(self.vocab[t] for t in self.merges.stream(symbols))
+            if len(symbols) > self.merges.window:
+                tokens = self.merges.stream(symbols)
+            else:  # the whole word is in the window
+                tokens = [symbols] if symbols in self.whole else self.merges.merged(list(symbols))
+            ids = tuple(map(self.vocab.__getitem__, tokens))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             if len(word) < 64:
@@ -167,8 +169,8 @@ class ByteBpe:
         except _Unsplittable:
             return self.words(text)
 
-    def plain(self, text: str) -> Iterator[int]:
-        """Ids piece by piece; a piece ends before a blank between two other characters, where a new word starts."""
+    def plain(self, text: str) -> Iterator[Iterable[int]]:
+        """The ids of each piece; a piece ends before a blank between two other characters, where a new word starts."""
         at = 0
         while len(text) - at > PIECE:
             cut = text.rfind(" ", at + 1, at + PIECE)
@@ -176,9 +178,9 @@ class ByteBpe:
                 cut = text.rfind(" ", at + 1, cut)
             if cut <= at:  # one long word, or blanks only: word by word
                 break
-            yield from self.split(text[at:cut])
+            yield self.split(text[at:cut])
             at = cut
-        yield from self.split(text[at:]) if len(text) - at <= PIECE else self.words(text[at:])
+        yield self.split(text[at:]) if len(text) - at <= PIECE else self.words(text[at:])
 
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a text; null is empty. Strings of special tokens in it become these tokens."""
@@ -186,14 +188,17 @@ class ByteBpe:
         if not text:
             return np.zeros(0, np.int32)
         if not any(t in text for t in self.special):
-            out.extend(self.plain(text))
+            for ids in self.plain(text):
+                out.extend(ids)
             return np.frombuffer(out, np.int32)
         at = 0
         for m in self.special_pattern.finditer(text):
-            out.extend(self.plain(text[at : m.start()]))
+            for ids in self.plain(text[at : m.start()]):
+                out.extend(ids)
             out.append(self.special[m[0]])
             at = m.end()
-        out.extend(self.plain(text[at:]))
+        for ids in self.plain(text[at:]):
+            out.extend(ids)
         return np.frombuffer(out, np.int32)
 
     def forget(self) -> None:

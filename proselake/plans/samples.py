@@ -124,8 +124,8 @@ _K = lambda spark: texts(spark, *KOREAN)
 #: name -> (query, columns with types, rows)
 GOLDEN: dict[str, tuple[Callable[[SparkSession], DataFrame], dict[str, str], list[tuple]]] = {
     "sample_plain_text": (lambda s: texts(s, "**bold** `a  b` [link](http://x)  *now*", "x_y_z 2*3*4").select("doc_id", spans.plain_text(F.col("text")).alias("plain")), {"doc_id": "long", "plain": "string"}, [(1, "bold a b link now"), (2, "x_y_z 2*3*4")]),
-    "sample_quote_spans": (lambda s: texts(s, 'he “said” "x y" so', "none").select("doc_id", F.explode(spans.spans_udf("quotes")("text")).alias("x")).select("doc_id", "x.first", "x.end"), {"doc_id": "long", "first": "long", "end": "long"}, [(1, 4, 8), (1, 11, 14)]),
-    "sample_code_spans": (lambda s: texts(s, "use `a  b` and `c`").select("doc_id", F.explode(spans.spans_udf("code")("text")).alias("x")).select("doc_id", "x.first", "x.end"), {"doc_id": "long", "first": "long", "end": "long"}, [(1, 4, 7), (1, 12, 13)]),
+    "sample_quote_spans": (lambda s: texts(s, 'he “said” "x y" so', "none").select("doc_id", F.explode(spans.spans_udf("quotes")("text")).alias("x")).select("doc_id", "x.first", F.col("x.end").alias("after")), {"doc_id": "long", "first": "long", "after": "long"}, [(1, 4, 8), (1, 11, 14)]),
+    "sample_code_spans": (lambda s: texts(s, "use `a  b` and `c`").select("doc_id", F.explode(spans.spans_udf("code")("text")).alias("x")).select("doc_id", "x.first", F.col("x.end").alias("after")), {"doc_id": "long", "first": "long", "after": "long"}, [(1, 4, 7), (1, 12, 13)]),
     "sample_promises": (lambda s: texts(s, "세 가지가 있고 2 단계와 3단계").select(F.explode(spans.promises_udf("text")).alias("x")).select("x.number", "x.unit"), {"number": "long", "unit": "string"}, [(3, "가지"), (2, "단계")]),
     "sample_canonical_numbers": (lambda s: texts(s, "01,230.500", "7", "0.50").select("doc_id", spans.canonical_number(F.col("text")).alias("number")), {"doc_id": "long", "number": "string"}, [(1, "1230.5"), (2, "7"), (3, "0.5")]),
     "sample_words": (lambda s: texts(s, "서울에서, (책을) 3개").select(F.explode(tokens.words(F.col("text"))).alias("w")).select("w.core", F.col("w.ends_clause").cast("int").alias("ends"), F.col("w.opens").cast("int").alias("opens"), F.col("w.particle").cast("int").alias("particle")), {"core": "string", "ends": "long", "opens": "long", "particle": "long"}, [("서울에서", 1, 0, 1), ("책을", 1, 1, 1), ("3개", 0, 0, 0)]),
@@ -142,7 +142,7 @@ GOLDEN: dict[str, tuple[Callable[[SparkSession], DataFrame], dict[str, str], lis
     "sample_configured": (lambda s: findings.lint(texts(s, LINT), findings.Config(disable=frozenset({"dash"}), preset="p", presets={"p": frozenset({"hardWord"})}, severity="error"), ENTRIES).filter("rule in ('fillerOpener', 'hardWord', 'dash')").select("rule", "line"), {"rule": "string", "line": "long"}, [("fillerOpener", 3), ("fillerOpener", 11)]),
     "sample_disabled_ranges": (lambda s: markdown.disabled_ranges(blocks(s, LINT)).select("rule", "first", "last"), {"rule": "string", "first": "long", "last": "long"}, [("fillerOpener", 5, 9), ("*", 15, 15)]),
     "sample_front_matter": (lambda s: markdown.parse_front_matter(texts(s, "---\ntitle: x\nkeyword: y z\n---\nbody", "no")).select("key", "value", "body_line"), {"key": "string", "value": "string", "body_line": "long"}, [("title", "x", 4 + 1), ("keyword", "y z", 5)]),
-    "sample_dropped_fences": (lambda s: markdown.drop_fences(blocks(s, PAGE), ["py"]).filter("kind = 'code'").agg(F.count(F.lit(1)).alias("left")), {"left": "long"}, [(0,)]),
+    "sample_dropped_fences": (lambda s: markdown.drop_fences(blocks(s, PAGE), ["py"]).filter("kind = 'code'").agg(F.count(F.lit(1)).alias("fences")), {"fences": "long"}, [(0,)]),
     "sample_baseline": (lambda s: findings.prune(findings.baseline_of(found(s)), found(s).filter("doc_id = 1 and quote <> 'c'"), texts(s, "a")).select("doc_id", "rule", "quote"), {"doc_id": "long", "rule": "string", "quote": "string"}, [(1, "dash", "a b"), (1, "deixis", "x"), (2, "dash", "q")]),
     "sample_summary": (lambda s: findings.summary(found(s)).select("doc_id", "errors", "notices", "commonest"), {"doc_id": "long", "errors": "long", "notices": "long", "commonest": "string"}, [(1, 2, 1, "dash"), (2, 0, 1, "dash")]),
     "sample_worst": (lambda s: findings.worst(found(s)).select("doc_id", "rule", "quote"), {"doc_id": "long", "rule": "string", "quote": "string"}, [(1, "dash", "a  b"), (2, "dash", "q")]),
@@ -150,7 +150,7 @@ GOLDEN: dict[str, tuple[Callable[[SparkSession], DataFrame], dict[str, str], lis
     "sample_reports": (lambda s: findings.as_text(found(s)).select("doc_id", "report"), {"doc_id": "long", "report": "string"}, [(1, "2: error [dash] a  b\n2: error [dash] c\n2: notice [deixis] x"), (2, "1: notice [dash] q")]),
     "sample_review_coverage": (lambda s: _reviews(s).select("quote", F.coalesce("line", F.lit(0)).alias("line"), F.col("covered").cast("int").alias("covered")), {"quote": "string", "line": "long", "covered": "long"}, [("second  part", 2, 1), ("part of the text", 2, 1), ("nowhere to see", 0, 0)]),
     "sample_fragments": (lambda s: profiles.fragments(blocks(s, PAGE)).select("line", "text"), {"line": "long", "text": "string"}, [(1, "t"), (3, "one"), (4, "two"), (6, "a"), (6, "b"), (8, "c"), (8, "d"), (10, "pic"), (12, "s")]),
-    "sample_section_shapes": (lambda s: profiles.section_shapes(blocks(s, PAGE)).select("section_index", "line", "prose", "code", "list", "table", "image"), {"section_index": "long", "line": "long", "prose": "long", "code": "long", "list": "long", "table": "long", "image": "long"}, [(0, 1, 0, 0, 1, 1, 1), (1, 12, 1, 1, 0, 0, 0)]),
+    "sample_section_shapes": (lambda s: profiles.section_shapes(blocks(s, PAGE)).select("section_index", "line", "prose", "code", F.col("list").alias("lists"), F.col("table").alias("tables"), F.col("image").alias("images")), {"section_index": "long", "line": "long", "prose": "long", "code": "long", "lists": "long", "tables": "long", "images": "long"}, [(0, 1, 0, 0, 1, 1, 1), (1, 12, 1, 1, 0, 0, 0)]),
     "sample_document_summary": (lambda s: profiles.document_summary(blocks(s, PAGE)).select("sections", "headings", "paragraphs", "code", "images", "tables"), {"sections": "long", "headings": "long", "paragraphs": "long", "code": "long", "images": "long", "tables": "long"}, [(1, 2, 1, 1, 1, 1)]),
     "sample_code_files": (lambda s: document_rules.code_files(blocks(s, PAGE)).select("line", "kind", "name"), {"line": "long", "kind": "string", "name": "string"}, [(17, "read", "a.csv"), (18, "write", "b.csv")]),
     "sample_section_at": (lambda s: document_rules.section_at(s.createDataFrame([(1, 1), (1, 11), (1, 13)], "doc_id long, line int"), blocks(s, PAGE)).select("line", "section_index", "block_index"), {"line": "long", "section_index": "long", "block_index": "long"}, [(1, 0, 0), (11, 0, 3), (13, 1, 4)]),

@@ -9,7 +9,9 @@ change it. The encoder keeps a window of fixed size, merges inside it, emits the
 least L symbols before the window's end and moves on; however long a word is, memory stays constant.
 
 Words are cut by the tokenizer's pattern. A blank between two other characters always starts a new
-word, so a text is split there and the pieces are kept in a bounded cache.
+word, so a text is split there and the pieces are kept in a bounded cache. Short words that a batch
+of texts brings up for the first time fill only a part of a window each; they are merged side by side,
+one merge of each word at a time, as rows of a matrix.
 
 Decoding is a state machine from bytes to text: ids become bytes, and the state between blocks of
 ids is the incomplete UTF-8 sequence at the end.
@@ -21,7 +23,7 @@ import codecs
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from ._store import keyed_text, table
 
 CACHE = 300_000
+#: Words of at most so many bytes are merged side by side, so many at a time.
+SHORT, ROWS = 40, 4096
 #: A text is taken in pieces of about so many characters.
 PIECE = 1 << 15
 #: Fixed by the tokenizer's format: how byte-level BPE cuts words.
@@ -95,6 +99,58 @@ class MergeList:
         yield from self.merged(list(symbols[at:]))
 
 
+class SideBySide:
+    """The merges of many short words at once, over ids of tokens."""
+
+    def __init__(self, merges: MergeList, vocab: dict[str, int], letters: list[str]):
+        known = sorted((r, vocab[a], vocab[b], vocab[a + b]) for (a, b), r in merges.rank.items())
+        rank, left, right, whole = np.array(known, np.int64).reshape(-1, 4).T
+        self.size = max(vocab.values(), default=0) + 1
+        self.none = int(rank.max(initial=0)) + 1
+        self.whole = np.zeros(self.none + 1, np.int64)
+        self.whole[rank] = whole
+        keys = left * self.size + right
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], 1 << 62), np.append(rank[order], self.none)
+        self.letters = np.array([vocab[c] for c in letters], np.int64)
+        first = self.letters[:, None] * self.size + self.letters
+        self.first = self.rank_of(first.ravel())
+
+    def rank_of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.ranks[at], self.none)
+
+    def merged(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of all words and where each word's end; the lowest rank of a word first, leftmost first."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max(initial=1)) + 1  # the last column is never part of a word
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width).astype(np.int64)
+        column = np.arange(width)
+        ids = self.letters[raw]
+        ranks = np.full(ids.shape, self.none)  # of the pair that starts in a column
+        ranks[:, :-1] = np.where(column[1:] < size[:, None], self.first[raw[:, :-1] * 256 + raw[:, 1:]], self.none)
+        out, left = ids.copy(), np.arange(len(words))
+        while True:
+            at = ranks.argmin(1)
+            low = ranks[np.arange(len(ranks)), at]
+            going = low != self.none
+            if not going.all():
+                out[left[~going]] = ids[~going]
+                ids, ranks, at, low, left = ids[going], ranks[going], at[going], low[going], left[going]
+                if not len(ids):
+                    return out[column < size[:, None]].tolist(), np.cumsum(size).tolist()
+            size[left] -= 1
+            behind = column > at[:, None]
+            ids[:, :-1] = np.where(behind[:, :-1], ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(column[:-1] >= at[:, None], ranks[:, 1:], ranks[:, :-1])
+            row = np.arange(len(ids))
+            new = ids[row, at] = self.whole[low]
+            after = self.rank_of(new * self.size + ids[row, at + 1])
+            ranks[row, at] = np.where(at + 1 < size[left], after, self.none)
+            inner = np.flatnonzero(at)
+            ranks[inner, at[inner] - 1] = self.rank_of(ids[inner, at[inner] - 1] * self.size + new[inner])
+
+
 class _Unsplittable(Exception):
     """A blank that does not stand between two other characters."""
 
@@ -111,7 +167,8 @@ class _Pieces(dict):
             raise _Unsplittable
         if len(self) >= CACHE:
             self.clear()
-        ids = tuple(self.coder.words(" " + piece))
+        found = self.coder.pattern.findall(" " + piece)
+        ids = self.coder.word(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(self.coder.word, found)))
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -140,6 +197,29 @@ class ByteBpe:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.whole = frozenset(t for t in self.vocab if len(t) <= 8 and t not in special and self.merges.merged(list(t)) == [t])
         self.pieces = _Pieces(self)
+        self.side_by_side = SideBySide(self.merges, self.vocab, letters)
+        self.shared = list(range(len(self.bytes_of)))  # one object for each id
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Put the short new words and pieces of texts, none longer than PIECE, into the caches."""
+        new = {p for t in texts for p in t.split(" ")} - self.pieces.keys()
+        new = [p for p in new if 0 < len(p) < 64 and not p[0].isspace() and not p[-1].isspace()]
+        found = self.pattern.findall(" " + " ".join(new)) if new else []
+        words = set(found)
+        if len(self.cache) + len(words) > CACHE:
+            self.cache.clear()
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces.clear()
+        words = {w: b for w in words - self.cache.keys() if len(b := w.encode()) <= SHORT}
+        names = list(words)
+        for lo in range(0, len(names), ROWS):
+            some = names[lo : lo + ROWS]
+            ids, ends = self.side_by_side.merged([words[w] for w in some])
+            ids = tuple(map(self.shared.__getitem__, ids))
+            self.cache.update(zip(some, (ids[a:b] for a, b in pairwise([0, *ends])), strict=True))
+        starts = [i for i, w in enumerate(found) if w[0] == " "]  # a piece has no blank in it and one before it
+        for piece, a, b in zip(new, starts, [*starts[1:], len(found)], strict=True):
+            self.pieces[piece] = self.word(found[a]) if b - a == 1 else tuple(chain.from_iterable(map(self.word, found[a:b])))
 
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.cache.get(word)
@@ -235,6 +315,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
+                coder.learn(t.as_py() for t in part["text"] if t.is_valid and t.as_buffer().size <= PIECE)
                 ids = [coder.encode(t.as_py()) for t in part["text"]]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])

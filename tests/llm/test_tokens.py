@@ -82,3 +82,15 @@ def test_queries_against_the_libraries(spark):
     assert got == {(i, len(x), sha(",".join(map(str, x))), sha(lib.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
     got = {tuple(r) for r in token_counts.op6_token_counts(spark, folder).collect()}
     assert got == {(i, len(t.encode()), len(sp.encode(t)), len(sp.encode(t)) > 4096) for i, t in docs.items()}
+
+
+def test_short_words_side_by_side():
+    coder = bpe.ByteBpe(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["th", "e", "qu", "é", "日", "1", "ss", "tion", "'", "\n", "\0"]) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    ids, ends = coder.side_by_side.merged([w.encode() for w in words])
+    assert [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)] == [[*coder.word(w)] for w in words]
+    text = " ".join(words) + "  end \x1c x \n"
+    plain = [*bpe.ByteBpe(P.path("byte_bpe_50k.json")).encode(text)]
+    coder.learn([text, "", " ", "a  b"])
+    assert [*coder.encode(text)] == plain

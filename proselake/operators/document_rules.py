@@ -77,6 +77,21 @@ def passive_pattern(stems: list[str]) -> str:
 PASSIVE_STEMS = ["보이", "쓰이", "놓이", "쌓이", "잊히", "읽히", "닫히", "잡히", "열리", "풀리", "불리", "들리", "나뉘", "담기", "안기", "되"]
 
 
+def voice_of(surface: Column, stems: tuple[str, ...] = tuple(PASSIVE_STEMS)) -> Column:
+    """struct(kind, base, reduced) of a stacked passive (보여지) or an analytic causative (쉽게 만들다); null for other forms.
+
+    A passive is reduced to its first stem; what a causative should become depends on its sense, so `reduced` is null there."""
+    i, yeo, ji = split_syllable("이")[1], split_syllable("여")[1], "지"
+    links = {}
+    for stem in stems:
+        initial, vowel, final = split_syllable(stem[-1])
+        links[(stem[:-1] + join_syllable(initial, yeo) if vowel == i and not final else stem + "어") + ji] = stem
+    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in links.items() for x in pair]), surface)
+    caused = F.nullif(F.regexp_extract(surface, r"^([가-힣]+)게\s+만들[가-힣]*$", 1), F.lit(""))
+    out = lambda kind, base, reduced: F.struct(F.lit(kind).alias("kind"), base.alias("base"), reduced.cast("string").alias("reduced"))
+    return F.when(base.isNotNull(), out("피동", base, base)).when(caused.isNotNull(), out("사동", caused, F.lit(None)))
+
+
 @rule("doublePassive", "error", "sentences")
 def double_passive(s: DataFrame, stems: tuple[str, ...] = tuple(PASSIVE_STEMS)) -> DataFrame:
     return s.filter(F.col("quote").rlike(passive_pattern(list(stems))))

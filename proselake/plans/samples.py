@@ -133,6 +133,7 @@ GOLDEN: dict[str, tuple[Callable[[SparkSession], DataFrame], dict[str, str], lis
     "sample_noun_runs": (lambda s: _K(s).select("doc_id", tokens.longest_noun_run(F.col("text"), ["직접"]).alias("run")), {"doc_id": "long", "run": "long"}, [(1, 1), (2, 4), (3, 1), (4, 0)]),
     "sample_registers": (lambda s: _K(s).select("doc_id", F.coalesce(tokens.register_of(F.col("text")), F.lit("-")).alias("register")), {"doc_id": "long", "register": "string"}, [(1, "한다"), (2, "합니다"), (3, "해요"), (4, "-")]),
     "sample_document_register": (lambda s: tokens.document_register(s.createDataFrame([(1, "온다."), (1, "갑니다."), (1, "간다."), (2, "가요"), (3, "x")], "doc_id long, sentence string")).select("doc_id", "register"), {"doc_id": "long", "register": "string"}, [(1, "섞임"), (2, "해요"), (3, "없음")]),
+    "sample_voices": (lambda s: texts(s, "보여지", "되어지", "나뉘어지", "쉽게 만들다", "만들어지", "보이").withColumn("v", document_rules.voice_of(F.col("text"))).filter("v IS NOT NULL").select("doc_id", "v.kind", "v.base", F.coalesce("v.reduced", F.lit("-")).alias("reduced")), {"doc_id": "long", "kind": "string", "base": "string", "reduced": "string"}, [(1, "피동", "보이", "보이"), (2, "피동", "되", "되"), (3, "피동", "나뉘", "나뉘"), (4, "사동", "쉽", "-")]),
     "sample_index_tokens": (lambda s: texts(s, "데이터를 Read-only").withColumn("t", tokens.index_tokens(F.col("text"))).select(joined("t").alias("tokens")), {"tokens": "string"}, [("데이터;데이;이터;read;only",)]),
     "sample_lexicon": (lambda s: lexicon.match_entries(texts(s, "잘 됬다 리소스를 쓴다", "리소스 팩", "자원봉사 자원").withColumnRenamed("text", "sentence"), ENTRIES).select("doc_id", "ord", "start_at", "end_at", "fix"), {"doc_id": "long", "ord": "long", "start_at": "long", "end_at": "long", "fix": "string"}, [(1, 0, 2, 3, "됐"), (1, 1, 5, 8, "자원")]),
     "sample_lexicon_first": (lambda s: lexicon.first_per_text(lexicon.match_entries(texts(s, "잘 됬다 리소스를 쓴다").withColumnRenamed("text", "sentence"), ENTRIES), ["doc_id"]).select("doc_id", "ord"), {"doc_id": "long", "ord": "long"}, [(1, 0)]),
